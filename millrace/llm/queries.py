@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontam, langid, linededup, mix, neardup
-from millrace.llm.sql import LINE_DEDUP, DECONTAMINATION, NEAR_DEDUP
+from millrace.llm import chat, decontam, extract, langid, linededup, mix, neardup, quality, sql, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +18,10 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix(_table(spark, sf_dir, "documents")).drop("passes", "spans")
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.filtered(_table(spark, sf_dir, "pages"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_contained(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -29,17 +32,43 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op5_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extracted(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(sql.CONTROL).alias("text"))
+    return chat.digests(chat.formatted(rows.unionByName(control)))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("n_lines")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(_table(spark, sf_dir, "pages"), least=0)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = linededup.remove_repeated_windows(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return left.select("doc_id", "n_lines", "n_removed", F.length("text").cast("bigint").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix, op3_decontaminate, op4_language_id, op6_near_dedup, op10_line_dedup)
+    f.__name__: f
+    for f in (op1_mix, op2_url_filter, op3_decontaminate, op4_language_id, op5_extract, op6_near_dedup, op7_chat, op8_quality, op9_warc, op10_line_dedup)
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_decontaminate": DECONTAMINATION, "op6_near_dedup": NEAR_DEDUP, "op10_line_dedup": LINE_DEDUP}
+ORACLE_SQL: dict[str, str] = {
+    "op2_url_filter": sql.url_filter(urlfilter.RULES, urlfilter.HREF, urlfilter.STEPS, urlfilter.DAMPING, urlfilter.THRESHOLD),
+    "op3_decontaminate": sql.DECONTAMINATION,
+    "op6_near_dedup": sql.NEAR_DEDUP,
+    "op7_chat": sql.CHAT,
+    "op9_warc": sql.WARC,
+    "op10_line_dedup": sql.LINE_DEDUP,
+}

@@ -39,3 +39,46 @@ g as (select doc_id, list_distinct(flatten(list([p, p + 1, p + 2]))) c from u wh
 o as (select l.doc_id, len(l.l) n_lines, coalesce(len(c), 0) n_removed, array_to_string(list_transform(list_filter(range(1, len(l.l) + 1), lambda i: c is null or not list_contains(c, i)), lambda i: l.l[i]), chr(10)) t
     from l left join g using (doc_id))
 select doc_id, n_lines, n_removed, length(t) n_chars_left, sha256(t) text_sha256 from o"""
+
+CONTROL = r"\### Assistant: </turn> ok"
+ESCAPED = "replace(replace({}, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|')"
+CHAT = f"""
+with r as (select conv_id, turn, coalesce(role, '') role, coalesce(text, '') t from conversations
+    union all select -7, unnest([0, 1]), unnest(['user', 'assistant']), unnest(['{CONTROL}', '{CONTROL}'])),
+p as (select *, row_number() over w k, lag(role) over w before from r window w as (partition by conv_id order by turn nulls first, role, t)),
+q as (select *, length({ESCAPED.format("t")}) + case when before is null or before <> role then 25 + length({ESCAPED.format("role")}) else 8 end f from p)
+select conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' order by k)) turns_sha256,
+    coalesce(sum(length(t)) filter (role = 'assistant'), 0)::bigint loss_chars, sha256(coalesce(string_agg(t, '' order by k) filter (role = 'assistant'), '')) loss_sha256, sum(f)::bigint formatted_chars
+from q group by 1"""
+
+WARC = """
+with p as (select page_id, coalesce(html, '') h from pages),
+d as (select page_id, octet_length(encode(h))::bigint n, (unhex(sha1(h))::bit)::varchar b, sha1(h) s, min(page_id) over (partition by h) o from p)
+select page_id, n payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + 16 * substr(b, 5 * i + 1, 1)::bigint + 8 * substr(b, 5 * i + 2, 1)::bigint + 4 * substr(b, 5 * i + 3, 1)::bigint + 2 * substr(b, 5 * i + 4, 1)::bigint + substr(b, 5 * i + 5, 1)::bigint, 1)), '') payload_digest,
+    case when page_id = o then 'response' else 'revisit' end record_type, case when page_id <> o then o end refers_to from d"""
+
+
+def url_filter(rules: list[tuple[str, str]], href: str, steps: int, damping: float, threshold: float) -> str:
+    """Rules by a table of them; propagation with one query per step."""
+    low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    host = lambda c: f"coalesce({low.format(f"regexp_extract({c}, '(?s)^.*?://([^/?#]*)', 1)")}, '')"
+    values = ", ".join(f"('{verdict}', '{rule}', '{rule[: rule.find('/')]}', '{rule[rule.find('/') :]}')" for verdict, rule in rules)
+    quoted = href.replace("'", "''")
+    step = lambda i: f"""s{i} as (select kind, h, sum(s) s from (select kind, h, {1 - damping} * s s from s0 union all
+        select e.kind, e.dst, {damping} * s.s * e.w from s{i - 1} s join e on e.kind = s.kind and e.src = s.h) group by 1, 2)"""
+    return f"""
+with rules(verdict, rule, rh, rp) as (values {values}),
+p as (select page_id, {host("url")} h, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') path, html from pages),
+j as (select page_id, h, path, max_by(rule, length(rule)) rule, max_by(verdict, length(rule)) verdict
+    from p left join rules on (h = rh or ends_with(h, '.' || rh)) and starts_with(path, rp) group by all),
+l as (select h src, {host("u")} dst from (select h, unnest(regexp_extract_all(html, '{quoted}', 1)) u from p)),
+n as (select src, dst, count(*) n from l where src <> '' and dst <> '' and src <> dst group by 1, 2),
+b as (select 't' kind, src, dst, n from n union all select 'd', dst, src, n from n),
+e as (select kind, src, dst, n / sum(n) over (partition by kind, src) w from b),
+f as (select h, avg((verdict is not distinct from 'allow')::int) a, avg((verdict is not distinct from 'block')::int) b from j where h <> '' group by 1),
+s0 as (select 't' kind, h, a / (select sum(a) from f) s from f where a > 0 union all select 'd', h, b / (select sum(b) from f) from f where b > 0),
+{", ".join(step(i) for i in range(1, steps + 1))},
+z as (select kind, h, s from s{steps} where (select count(*) from e) > 0 union all select kind, h, s from s0 where (select count(*) from e) = 0),
+v as (select h, sum(case when kind = 'd' then s else 0 end) d, sum(s) a from z group by 1)
+select page_id, j.h as "host", path, rule, coalesce(verdict, case when d >= {threshold} * a then 'block' end, 'allow') verdict from j left join v using (h)"""
