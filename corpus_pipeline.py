@@ -12,7 +12,7 @@ from millrace.llm import decontam, langid, linededup, mix, neardup
 from millrace.llm.common import SPACE, staged
 
 #: Documents nearer to no language than this have next to none of its frequent n-grams.
-LEAST_SCORE = 0.05
+LEAST_SCORE = 0.2
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
