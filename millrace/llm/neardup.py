@@ -10,9 +10,10 @@ dropped only if it's over what the threshold allows by more than six standard de
 
 A bucket of m nodes isn't m * m pairs. Links are found in rounds: in each, a bucket's members are held against one
 pivot - first its smallest node, then its best linked one - each node against its most similar pivot only, and linked nodes
-become components. What is left of a bucket then are members in different components: those outside of its largest one are
-held against all members not yet linked to them, with the sketch as a condition of that join. Pairs within a component need
-no test, as they can't change it. Components come from alternating large-star and small-star steps.
+become components. What is left are buckets with members in different components. Nodes outside of a bucket's largest
+component are then held against that component and against each other, in blocks of bounded size which hold each set once
+and return links alone, whatever the number of pairs. Pairs within a component need no test, as they can't change it.
+Components come from alternating large-star and small-star steps.
 """
 
 from __future__ import annotations
@@ -32,9 +33,11 @@ BANDS, ROWS = 40, 5
 SAMPLES = BANDS * ROWS
 SKETCH_LONGS = 8
 SKETCH_BITS = 64 * SKETCH_LONGS
-#: Of 512; a pair at 0.8 differs in 40 of 200 samples, which flip 74 bits on average, with a deviation of about 10.
-MOST_ODD = 136
+#: Of 512; a pair at 0.8 differs in 40 of 200 samples, which flip 74 bits on average, with a deviation of about 9.
+MOST_ODD = 128
 PIVOT_ROUNDS = 2
+#: Nodes of a block's two sides, when what the pivots left over is tested.
+BLOCK_ONE, BLOCK_TWO = 128, 512
 _RANDOM = np.random.default_rng(20240229)
 _TIMES = _RANDOM.integers(1, 1 << 31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _PLUS = _RANDOM.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
@@ -152,10 +155,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     doc_id are kept. A null doc_id takes part only as a copy: it never names a component if another does, and is kept if none does.
     """
     signed = staged(signatures(docs, words), "signatures")
-    nodes = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("odd").alias("odd"), F.first("bands").alias("bands"))
-    banded = nodes.select("key", F.posexplode("bands").alias("band", "bucket"))
-    shared = banded.groupBy("band", "bucket").agg(F.min("key").alias("pivot"), F.max("key").alias("other")).where("pivot <> other").drop("other")
-    members = staged(banded.join(shared, ["band", "bucket"]).select("band", "bucket", "key", "pivot"), "members")
+    nodes = signed.where("key is not null").groupBy("key").agg(F.first("bands").alias("bands"))
+    banded = nodes.select("key", F.explode("bands").alias("bucket"))
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket")
+    members = staged(banded.join(shared, "bucket").select("bucket", "key"), "members")
     near = members.select("key").distinct()
     known = staged(signed.where("key is not null").join(near, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("odd").alias("odd")), "nodes")
     links = all_links(docs, members, known, words, percent)
@@ -175,58 +178,84 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 def all_links(docs: DataFrame, members: DataFrame, known: DataFrame, words: int, percent: int) -> DataFrame | None:
     """Links that connect all that is connected; None if no bucket is shared."""
-    a = known.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("odd").alias("odd_a"))
-    b = known.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("odd").alias("odd_b"))
-    sift = lambda pairs: pairs.join(a, "a").join(b, "b").where(alike("a", "b", percent))
-    first = staged(sift(members.where("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct()).select("a", "b", odd_bits("odd_a", "odd_b").alias("far")), "pairs")
-    if first.isEmpty():
+    if members.isEmpty():
         return None
-    spark = docs.sparkSession
-    links, roots, texts_of, tried = None, None, None, None
-    for number in range(PIVOT_ROUNDS + 1):
-        last = number == PIVOT_ROUNDS
-        if number:
-            degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").count()
-            placed = members.drop("pivot").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-            split = placed.groupBy("band", "bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "bucket")
-            placed = staged(placed.join(split, ["band", "bucket"]).join(degree, "key", "left"), "placed")
-            if placed.isEmpty():
-                return links
-            if last:
-                pairs = rest(placed, known, percent)
-            else:
-                hubs = placed.groupBy("band", "bucket").agg(F.max_by(F.struct("key", "root"), F.struct(F.coalesce("count", F.lit(0)), "key")).alias("hub"))
-                against = placed.join(hubs, ["band", "bucket"]).where("hub.root <> root").select(F.col("key").alias("a"), F.col("hub.key").alias("b")).distinct()
-                pairs = sift(against).select("a", "b", odd_bits("odd_a", "odd_b").alias("far"))
-        else:
-            pairs = first
-        if not last:
-            pairs = pairs.groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b"))
-        pairs = staged(pairs.select("a", "b"), "tests")
-        if pairs.isEmpty():
-            if last:
-                return links
-            continue
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        ids = ends.join(known, "key").select("key", "id")
-        wanted = node_texts(docs, ids, words)
-        made = staged(confirmed(pairs, wanted, words, percent), "links")
-        links = made if links is None else staged(links.unionByName(made), "links")
+    one = known.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("odd").alias("odd_a"))
+    two = known.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("odd").alias("odd_b"))
+    sets = node_texts(docs, known.select("key", "id"), words)
+    pivots = members.groupBy("bucket").agg(F.min("key").alias("b"))
+    against = members.join(pivots, "bucket").where("key <> b").select(F.col("key").alias("a"), "b").distinct()
+    links = None
+    for _ in range(PIVOT_ROUNDS):
+        sifted = against.join(one, "a").join(two, "b").where(alike("a", "b", percent))
+        best = sifted.groupBy("a").agg(F.min_by("b", F.struct(odd_bits("odd_a", "odd_b"), "b")).alias("b"))
+        made = confirmed(staged(best, "tests"), sets, words, percent)
+        links = staged(made if links is None else links.unionByName(made), "links")
         roots = components(links)
-    return links
-
-
-def rest(placed: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a split bucket that are in different components, one of them not in the bucket's largest."""
-    sizes = placed.groupBy("band", "bucket", "root").count()
-    largest = sizes.groupBy("band", "bucket").agg(F.max_by("root", F.struct("count", "root")).alias("largest"))
-    full = placed.select("band", "bucket", "key", "root").join(known, "key")
-    one = full.join(largest, ["band", "bucket"]).where("root <> largest")
-    one = one.select("band", "bucket", F.col("key").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"), F.col("odd").alias("odd_a"), "largest")
-    two = full.select(F.col("band").alias("band_b"), F.col("bucket").alias("bucket_b"), F.col("key").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"), F.col("odd").alias("odd_b"))
-    apart = (F.col("root_a") != F.col("root_b")) & ((F.col("a") < F.col("b")) | (F.col("root_b") == F.col("largest")))
-    met = one.join(two, (F.col("band") == F.col("band_b")) & (F.col("bucket") == F.col("bucket_b")) & apart & alike("a", "b", percent))
-    return met.select("a", "b").distinct()
+        placed = members.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+        split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+        placed = staged(placed.join(split, "bucket"), "placed")
+        degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("links"))
+        ranked = placed.join(degree, "key", "left").select("bucket", F.struct(F.coalesce("links", F.lit(0)).alias("links"), "key", "root").alias("hub"))
+        hubs = ranked.groupBy("bucket").agg(F.max("hub").alias("hub"))
+        against = placed.join(hubs, "bucket").where("hub.root <> root").select(F.col("key").alias("a"), F.col("hub.key").alias("b")).distinct()
+    return staged(links.unionByName(rest(placed, known, sets, words, percent)), "links")
+
+
+def rest(placed: DataFrame, known: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between the nodes outside of their bucket's largest component, and between them and that component."""
+    largest = placed.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max(F.struct("count", "root")).alias("most"))
+    grouped = staged(placed.join(largest, "bucket").select(F.col("most.root").alias("group"), "key", "root", (F.col("root") != F.col("most.root")).alias("out")).distinct(), "rest")
+    sizes = grouped.groupBy("group").agg(F.ceil(F.sum(F.col("out").cast("int")) / BLOCK_ONE).alias("ones"), F.ceil(F.count(F.lit(1)) / BLOCK_TWO).alias("twos"))
+    full = grouped.join(sizes, "group").join(known.select("key", "n", "odd"), "key").join(sets, "key")
+    sides = F.filter(F.array(F.col("out"), F.lit(False)), lambda s: F.col("out") | ~s)  # outer nodes are on both sides
+    dealt = full.withColumn("one", F.explode(F.array_distinct(sides)))
+    own = F.pmod(F.xxhash64("key"), F.when(F.col("one"), F.col("ones")).otherwise(F.col("twos")))
+    every = F.sequence(F.lit(0).cast("bigint"), F.when(F.col("one"), F.col("twos")).otherwise(F.col("ones")) - 1)
+    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(every))
+    dealt = dealt.select("group", F.when(F.col("one"), F.col("own")).otherwise(F.col("other")).alias("i"), F.when(F.col("one"), F.col("other")).otherwise(F.col("own")).alias("j"), "one", "out", "key", "root", "n", "odd", "text")
+    return dealt.groupBy("group", "i", "j").applyInArrow(lambda table: block_links(table, words, percent), "a binary, b binary")
+
+
+def bitsets(sets: list[np.ndarray], vocabulary: np.ndarray) -> list[int]:
+    """Each set's part in the sorted vocabulary, as the bits of an integer."""
+    out = []
+    for found in sets:
+        flags = np.zeros(len(vocabulary), bool)
+        flags[np.searchsorted(vocabulary, np.intersect1d(found, vocabulary, assume_unique=True))] = True
+        out.append(int.from_bytes(np.packbits(flags).tobytes(), "big"))
+    return out
+
+
+def block_links(table: pa.Table, words: int, percent: int) -> pa.Table:
+    """Links from the block's one side to its other, one for each pair of components, best sketches first."""
+    one = np.array(table.column("one").to_pylist(), bool)
+    out = np.array(table.column("out").to_pylist(), bool)
+    keys, roots = table.column("key").to_pylist(), table.column("root").to_pylist()
+    n = table.column("n").to_numpy()
+    odd = np.array(table.column("odd").to_pylist(), np.int64).reshape(-1, SKETCH_LONGS)
+    left, right = np.flatnonzero(one), np.flatnonzero(~one)
+    made: list[tuple[bytes, bytes]] = []
+    if len(left) and len(right):
+        hashes = WordHashes()
+        sets = [shingles(hashes.of(t.lower().split()), words) for t in (x for c in table.column("text").chunks for x in texts(c))]
+        vocabulary = np.intersect1d(np.unique(np.concatenate([sets[i] for i in left])), np.unique(np.concatenate([sets[i] for i in right])))
+        bits = bitsets(sets, vocabulary)
+        number = {r: k for k, r in enumerate(dict.fromkeys(roots))}
+        root = np.array([number[r] for r in roots])
+        joined: set[tuple[int, int]] = set()
+        for i in left.tolist():
+            far = np.bitwise_count(odd[right] ^ odd[i]).sum(axis=1)
+            sized = np.minimum(n[right], n[i]) * 100 >= np.maximum(n[right], n[i]) * percent
+            near = np.flatnonzero((root[right] != root[i]) & sized & (far <= MOST_ODD))
+            for j in right[near[np.argsort(far[near], kind="stable")]].tolist():
+                if out[j] and keys[j] < keys[i] or (root[i], root[j]) in joined:
+                    continue  # tested from the other side, or known
+                both = (bits[i] & bits[j]).bit_count()
+                if 100 * both >= percent * (n[i] + n[j] - both):
+                    joined.add((root[i], root[j]))
+                    made.append((keys[i], keys[j]))
+    return pa.table({"a": pa.array([a for a, _ in made], pa.binary()), "b": pa.array([b for _, b in made], pa.binary())})
 
 
 def node_texts(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
