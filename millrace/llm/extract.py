@@ -34,6 +34,8 @@ WORDS = frozenset(
     "sponsor sponsored comment comments respond reply replies discussion disqus share sharing social related recommended breadcrumb breadcrumbs widget popup modal overlay newsletter "
     "subscribe subscription login signup search pagination pager toolbar masthead topbar skip".split()
 )
+#: A comment may be an article by its tag.
+COMMENTS = frozenset("comment comments reply replies respond".split())
 #: An open element that a start tag of these ends.
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 MAIN = ("article", "main")
@@ -50,11 +52,12 @@ def named_away(name: str, attributes: str) -> bool:
     """Does an element say that it's no article?"""
     if name in NEVER:
         return True
-    if not attributes or name in ("html", "body", *MAIN):
+    if not attributes or name in ("html", "body"):
         return False
+    words = COMMENTS if name in MAIN else WORDS
     for kind, *values in ATTRIBUTE.findall(attributes):
         found = set(re.split(r"[^a-z0-9]+", "".join(values).lower()))
-        if found & (ROLES if kind.lower() == "role" else WORDS):
+        if found & (ROLES if kind.lower() == "role" else words):
             return True
     return False
 
@@ -122,10 +125,10 @@ def blocks(page: str) -> list[Block]:
                 if stack[i][0] in ended:
                     pop_to(i)
                     break
-        if name in MAIN and away and not seen_main:  # an element before the article was left open
-            pop_to(next(i for i, (_, bad) in enumerate(stack) if bad))
-        seen_main |= name in MAIN
         bad = named_away(name, tag["attributes"])
+        if name in MAIN and away and not bad and not seen_main:  # an element before the article was left open
+            pop_to(next(i for i, (_, bad) in enumerate(stack) if bad))
+        seen_main |= name in MAIN and not bad
         if bad:
             flush()
         if tag["attributes"].endswith("/") and name in INLINE:

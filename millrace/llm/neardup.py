@@ -233,7 +233,7 @@ def block_links(table: pa.Table, words: int, percent: int) -> pa.Table:
     out = np.array(table.column("out").to_pylist(), bool)
     keys, roots = table.column("key").to_pylist(), table.column("root").to_pylist()
     n = table.column("n").to_numpy()
-    odd = np.array(table.column("odd").to_pylist(), np.int64).reshape(-1, SKETCH_LONGS)
+    odd = np.array(table.column("odd").to_pylist(), np.int64).view(np.uint64).reshape(-1, SKETCH_LONGS)  # bitwise_count takes magnitudes of signed numbers
     left, right = np.flatnonzero(one), np.flatnonzero(~one)
     made: list[tuple[bytes, bytes]] = []
     if len(left) and len(right):
@@ -259,7 +259,10 @@ def block_links(table: pa.Table, words: int, percent: int) -> pa.Table:
 
 
 def node_texts(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(key, text) of the nodes in ``ids``, one row each, read from the documents again."""
+    """(key, text) of the nodes in ``ids``, one row each, read from the documents again.
+
+    The ids grow with the corpus, so they're merged at any size, never broadcast.
+    """
     named = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).join(ids.select("id").where("id is not null").distinct(), "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

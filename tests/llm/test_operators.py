@@ -1,0 +1,492 @@
+"""The operators against brute force on small inputs, and the cases that the tables don't hold."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+from collections import Counter
+from fractions import Fraction
+
+import numpy as np
+import pytest
+from oracle import FOLDER, compare
+from pyspark.sql import functions as F
+
+from millrace.llm import chat, decontam, extract, langid, linededup, mix, neardup, quality, queries, urlfilter, warc
+from millrace.llm.common import WordHashes, scratch, shingles
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+
+
+def grams(text, n):
+    found = words(text)
+    n = min(n, len(found))
+    return {tuple(found[i : i + n]) for i in range(len(found) - n + 1)} if found else set()
+
+
+def odd_documents(spark, rows=None):
+    """Null in every column, empty and long texts, ties, repeated rows, and columns of clashing names."""
+    base = "one two three four five six seven eight nine ten"
+    rows = rows or [
+        (1, base, "en", "a", 1), (1, base, "en", "a", 1), (2, None, None, None, None), (3, "", "en", "b", 0), (None, base + " eleven", "en", None, 3),
+        (4, "\n \t\n", "de", "b", 4), (5, "wort " * 30_000, "de", "c", 5), (6, "a\nb\nc\nd", "fr", "a", 7), (7, "x\na\nb\nc", "fr", "a", 7), (8, "123 456", "en", "a", 7),
+    ]
+    df = spark.createDataFrame(rows, DOCS)
+    for name in ("key", "score", "lang_pred", "n_lines", "n_removed", "_version", "source_size"):
+        df = df.withColumn(name, F.lit(1))
+    return df
+
+
+@pytest.mark.parametrize("name", queries.ORACLE_SQL)
+def test_query_equals_sql(spark, name):
+    compare(spark, queries.QUERIES[name], queries.ORACLE_SQL[name])
+
+
+@pytest.mark.parametrize("name", ["op1_mix", "op4_language_id", "op8_quality"])
+def test_one_row_per_document(spark, name):
+    rows = queries.QUERIES[name](spark, FOLDER).select("doc_id").collect()
+    assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect())
+
+
+# mixing
+
+
+def test_apportion_equals_highest_quotients():
+    rng = random.Random(3)
+    for _ in range(60):
+        votes = [rng.choice([0, rng.randint(1, 50), rng.randint(1, 5000)]) for _ in range(rng.randint(1, 8))]
+        caps = [rng.randint(0, 60) for _ in votes]
+        seats = rng.randint(0, 150)
+        held = [0] * len(votes)
+        for _ in range(seats):
+            free = [i for i in range(len(votes)) if held[i] < caps[i] and votes[i]]
+            if not free:
+                break
+            held[max(free, key=lambda i: (Fraction(votes[i], 2 * held[i] + 1), -i))] += 1
+        assert mix.apportion(votes, seats, caps) == held
+
+
+def test_targets():
+    got = mix.targets({"b": 100, "a": 10, None: 50, "c": 0})
+    assert got["a"] == 20 and got["c"] == 0  # a would have 120 of 240
+    assert sum(got.values()) == pytest.approx(240) and all(got[s] <= 2 * n for s, n in {"b": 100, None: 50}.items())
+    assert mix.targets({}) == {} and mix.targets({"a": 0}) == {"a": 0.0}
+
+
+def test_mix_takes_what_it_should(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    rows = mix.mix(docs, shard_words=5000).collect()
+    size = Counter()
+    for r in docs.collect():
+        size[r.source] += len(words(r.text))
+    wanted, taken = mix.targets(dict(size)), Counter()
+    for r in rows:
+        taken[r.source] += r.taken
+        assert r.taken == r.passes * r.size + sum(s.end - s.start for s in r.spans) <= 2 * r.size
+        assert r.source_size == size[r.source] and r.target == pytest.approx(wanted[r.source])
+    for source, target in wanted.items():
+        assert abs(taken[source] - target) <= mix.BLOCK * (2 + size[source] / 5000)
+    assert sorted(map(str, rows)) == sorted(map(str, mix.mix(docs, shard_words=5000).collect()))
+    other = {(r.doc_id, r.taken) for r in mix.mix(docs, seed=99).collect()}
+    assert other != {(r.doc_id, r.taken) for r in mix.mix(docs).collect()}
+
+
+def test_mix_odd_documents(spark):
+    rows = mix.mix(odd_documents(spark)).collect()
+    assert len(rows) == 10 and all(r.taken <= 2 * r.size for r in rows)
+    assert {r.source for r in rows} == {"a", "b", "c", None}
+    assert all(r.taken == 0 for r in rows if r.doc_id in (2, 3, 4))
+    assert mix.mix(odd_documents(spark).where("false")).collect() == []
+
+
+# URL filters
+
+
+@pytest.mark.parametrize(
+    ("url", "host", "path", "rule"),
+    [
+        ("http://A.Org/x?y", "a.org", "/x", "org/"), ("http://a.org", "a.org", "", None), ("https://www.example.org/es/1#z", "www.example.org", "/es/1", "example.org/es/"),
+        ("http://example.org/en/12", "example.org", "/en/12", "example.org/en/1"), ("http://myexample.org/es/", "myexample.org", "/es/", "org/"), ("http://x.com/de/a://b", "x.com", "/de/a://b", "com/de/"),
+        ("no scheme", "", "", None), (None, "", "", None), ("", "", "", None), ("x://h?a/b", "h", "", None), ("http://É.org/ö", "É.org", "/ö", "org/"),
+    ],
+)
+def test_hosts_paths_and_rules(spark, url, host, path, rule):
+    row = urlfilter.filtered(spark.createDataFrame([(1, url, None)], "page_id bigint, url string, html string")).first()
+    assert (row.host, row.path, row.rule) == (host, path, rule)
+
+
+def linked_pages(spark):
+    link = lambda *to: "".join(f'<p><a class="x" HREF="https://{t}/q">t</a>' for t in to) + '<a href="/own">'
+    rows = [
+        (1, "http://good.org/a", link("b.net", "c.net")), (2, "http://bad.com/de/1", link("c.net")), (3, "http://b.net/", link("c.net", "b.net")), (4, "http://c.net/x", link("bad.com")),
+        (5, "http://d.net/x", link("c.net", "bad.com", "bad.com")), (6, "http://e.net/x", None), (7, "http://f.com/en", link("good.org")), (None, None, link("b.net")), (3, "http://b.net/", link("c.net", "b.net")),
+    ]
+    return spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("host", F.lit("clash"))
+
+
+def test_propagation_equals_dense_arithmetic(spark):
+    pages = linked_pages(spark)
+    verdicts = {r.page_id: r.verdict for r in urlfilter.filtered(pages).collect()}
+    edges = {(r.src, r.dst): r.n for r in urlfilter.links(pages).collect()}
+    hosts = sorted({h for e in edges for h in e})
+    a = np.zeros((len(hosts), len(hosts)))
+    for (src, dst), n in edges.items():
+        a[hosts.index(src), hosts.index(dst)] = n
+    assert edges["d.net", "bad.com"] == 2 and edges["b.net", "c.net"] == 2 and ("b.net", "b.net") not in edges
+
+    def ranks(matrix, seed):
+        share = matrix / np.maximum(matrix.sum(axis=1, keepdims=True), 1)
+        first = np.array([float(h == seed) for h in hosts])
+        scores = first
+        for _ in range(urlfilter.STEPS):
+            scores = urlfilter.DAMPING * scores @ share + (1 - urlfilter.DAMPING) * first
+        return scores
+
+    trust, distrust = ranks(a, "good.org"), ranks(a.T, "bad.com")
+    for page, host in ((3, "b.net"), (4, "c.net"), (5, "d.net"), (7, "f.com")):
+        i = hosts.index(host)
+        assert verdicts[page] == ("block" if trust[i] + distrust[i] > 0 and distrust[i] >= 0.5 * (trust[i] + distrust[i]) else "allow")
+    assert verdicts[5] == "block" and verdicts[6] == "allow" and verdicts[None] == "allow" and verdicts[1] == "allow" and verdicts[2] == "block"
+    assert urlfilter.filtered(pages.where("false")).collect() == []
+
+
+# decontamination
+
+
+def test_containment_equals_brute_force(spark):
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([3, 5, 6, 20, 60, 200])))) for i in range(40)]
+    docs = []
+    for d in range(150):
+        body = rng.choices(vocabulary, k=rng.choice([4, 50, 600]))
+        part = items[rng.randrange(40)][1].split()
+        for _ in range(rng.choice([0, 0, 1, 2, 4, 8])):
+            part[rng.randrange(len(part))] = "Other"
+        at = rng.randrange(len(body))
+        docs.append((d, " ".join(body[:at] + [p.upper() for p in part] + body[at:])))
+    docs += [(900, None), (901, ""), (None, items[3][1] if len(items[3][1].split()) > 4 else items[4][1])]
+    left, right = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([*items, (77, None), (None, "a b c d e f")], "item_id bigint, text string")
+    expected = set()
+    for d, text in docs:
+        own = grams(text, 5) if len(words(text)) >= 5 else set()
+        for i, item in items:
+            test = grams(item, 5)
+            if len(words(item)) >= 5 and len(own & test) >= 0.8 * len(test):
+                expected.add((d, i, len(test), len(own & test)))
+    for most in (10**6, 60):
+        got = decontam.find_contained(left, right, most=most).collect()
+        assert {(r.doc_id, r.item_id, r.item_shingles, r.shared_shingles) for r in got} == expected and len(got) == len(expected)
+    assert len({d for d, *_ in expected}) > 20
+    kept = [r.doc_id for r in decontam.decontaminate(left.withColumn("doc", F.lit(1)), right, most=60).collect()]
+    assert sorted(map(str, kept)) == sorted(str(d) for d, _ in docs if d not in {e[0] for e in expected})
+    assert decontam.find_contained(left, right.where("false")).collect() == [] and decontam.find_contained(left.where("false"), right).collect() == []
+
+
+# language ID
+
+
+def test_language_is_told_on_held_out_documents(spark):
+    rows = queries.op4_language_id(spark, FOLDER).join(spark.read.parquet(f"{FOLDER}/documents.parquet"), "doc_id").where("held_out").collect()
+    assert len(rows) > 20 and sum(r.lang == r.lang_pred for r in rows) >= 0.98 * len(rows)
+    assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_out_of_place_distance_equals_plain_python():
+    def profile(text):
+        spaced = " " + re.sub(r"[^a-zäöüßéèñú]+", " ", text.lower()).strip() + " "
+        found = Counter(c for c in spaced if c != " ")
+        found.update(spaced[i : i + 2] for i in range(len(spaced) - 1))
+        found.update(spaced[i : i + 3] for i in range(len(spaced) - 2) if spaced[i + 1] != " ")
+        code = lambda g: sum(ord(c) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+        return [code(g) for g in sorted(found, key=lambda g: (-found[g], code(g)))[: langid.PROFILE]]
+
+    texts = {"a": "The cat, the hat; and THE dog's bat!! 12 ran", "b": "Die Katze und der Hund über größer  das"}
+    profiles = langid.Profiles.of({k: profile(t) for k, t in texts.items()})
+    for text in (*texts.values(), "the hund und cat", "é", "ñandú the"):
+        own = profile(text)
+        distance = {k: sum(abs(i - p.index(g)) if g in p else langid.PROFILE for i, g in enumerate(own)) for k, p in ((k, profile(t)) for k, t in texts.items())}
+        best = min(sorted(distance), key=distance.get)
+        assert profiles.predict(text) == (best, pytest.approx(1 - distance[best] / (langid.PROFILE * len(own))))
+
+
+def test_language_odd_documents(spark):
+    docs = odd_documents(spark)
+    rows = langid.identify(docs, langid.fit(docs)).collect()
+    assert len(rows) == 10 and {r.doc_id for r in rows if r.lang_pred == "und"} == {2, 3, 4, 8}
+    assert {r.lang_pred for r in langid.identify(docs, langid.fit(docs.where("false"))).collect()} == {"und"}
+    assert langid.identify(docs.where("false"), langid.fit(docs)).collect() == []
+
+
+# HTML extraction
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (None, ""), ("", ""), ("<html><body></body></html>", ""), ("plain &amp; simple text, no tags.", "plain & simple text, no tags."),
+        ("<nav>menu</nav><article><h1>T</h1><p>One,  <b>two</b>\nthree.<p>Four.</article><footer>f</footer>", "T\nOne, two three.\nFour."),
+        ("<div class='ad'>ad<article><p>Body text.</p></article><article class='comment'><p>c</p></article>", "Body text."),
+        ("<article><p>a&nbsp;b &lt;c&gt; &#233;<br>d</p><script>var t='</p>';</script><aside>x</aside><!-- <p>no</p> --></article>", "a b <c> é d"),
+        ("<body><div id=cookie-notice>we use cookies.</div><main><p>Text.</p><form>f</form><ul><li>i<li>j</ul></main>", "Text.\ni\nj"),
+        ("<body><ul class=menu><li>a</ul><div><h2>Head</h2><p>" + "Long text, with marks. " * 20 + "<p>" + "More of it, here. " * 20 + "</div><div class=footer>end</div>", "Head\n" + ("Long text, with marks. " * 20).strip() + "\n" + ("More of it, here. " * 20).strip()),
+        ("<article><p>a < b and <unclosed", "a < b and <unclosed"), ("<article><p title=\"a>b\">x</p></article>", "x"), ("<article>" + "<div>" * 3000 + "deep", "deep"),
+    ],
+)
+def test_main_text(page, text):
+    assert extract.main_text(page) == text
+
+
+def test_extraction_of_the_table(spark):
+    pages = spark.read.parquet(f"{FOLDER}/pages.parquet").withColumn("text", F.lit("clash"))
+    rows = extract.extracted(pages).collect()
+    for r in rows:
+        inside = re.search(r"(?s)<article>(.*?)</article>", r.html)[1]
+        parts = [" ".join(extract.references.unescape(re.sub("<[^>]*>", "", p)).split()) for p in re.split("</?(?:p|h1)>", inside)]
+        assert r.text == "\n".join(p for p in parts if p) and r.n_chars == len(r.text)
+    assert len(rows) == pages.count() and extract.extracted(pages.where("false")).collect() == []
+
+
+# near-duplicates
+
+
+def brute_components(rows, n):
+    sets = [grams(t, n) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(d, least.get(find(i), d))
+    return {d: (len(sets[i]), least[find(i)]) for i, (d, _) in enumerate(rows)}
+
+
+def near_copies(seed, groups, size, change, length=120):
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows = []
+    for _ in range(groups):
+        base = rng.choices(vocabulary, k=length)
+        for _ in range(size):
+            copy = list(base)
+            for _ in range(rng.randint(0, change)):
+                copy[rng.randrange(length)] = rng.choice(vocabulary)
+            rows.append((len(rows), " ".join(copy)))
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize(("n", "rows"), [(2, near_copies(1, 12, 25, 12)), (5, near_copies(2, 20, 6, 5)), (2, near_copies(4, 1, 260, 14))])
+def test_components_equal_brute_force(spark, n, rows):
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), words=n).collect()
+    expected = brute_components(rows, n)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == expected and len(got) == len(rows)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def test_block_links_find_every_component_pair():
+    import pyarrow as pa
+
+    rows = near_copies(6, 2, 40, 10)
+    hashes = WordHashes()
+    sets = [shingles(hashes.of(t.encode().split()), 2) for _, t in rows]
+    keys = [neardup.set_key(s) for s in sets]
+    odd = [neardup.odd_sketch(neardup.minhash(s)).tolist() for s in sets]
+    both = {side: [i for i in range(len(rows)) if side == "two" or i % 3 == 0] for side in ("one", "two")}
+    flat = [(i, side == "one") for side, own in both.items() for i in own]
+    table = pa.table({
+        "one": [one for _, one in flat], "out": [i % 3 == 0 for i, _ in flat], "key": pa.array([keys[i] for i, _ in flat], pa.binary()),
+        "root": pa.array([keys[i] for i, _ in flat], pa.binary()), "n": [len(sets[i]) for i, _ in flat], "odd": [odd[i] for i, _ in flat], "text": [rows[i][1] for i, _ in flat],
+    })
+    got = {frozenset(p) for p in zip(*(c.to_pylist() for c in neardup.block_links(table, 2, 80).columns), strict=True)}
+    exact = [grams(t, 2) for _, t in rows]
+    expected = {frozenset((keys[i], keys[j])) for i in both["one"] for j in range(len(rows)) if keys[i] != keys[j] and 100 * len(exact[i] & exact[j]) >= 80 * len(exact[i] | exact[j])}
+    assert got == expected and expected
+
+
+def test_odd_sketch_estimates_differences():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 62, 800).astype(np.uint64)
+    for share in (0.95, 0.8):
+        other = np.concatenate([base[: int(800 * 2 * share / (1 + share))], rng.integers(0, 1 << 62, 800 - int(800 * 2 * share / (1 + share))).astype(np.uint64)])
+        a, b = (neardup.odd_sketch(neardup.minhash(np.unique(s))) for s in (base, other))
+        flips = int(np.bitwise_count((a ^ b).view(np.uint64)).sum())
+        estimate = 1 + neardup.SKETCH_BITS / (4 * neardup.SAMPLES) * np.log(1 - 2 * flips / neardup.SKETCH_BITS)
+        assert abs(estimate - share) < 0.1 and flips <= neardup.MOST_ODD
+
+
+def test_near_duplicates_odd_documents(spark):
+    docs = odd_documents(spark)
+    rows = neardup.near_duplicates(docs, words=2).collect()
+    assert len(rows) == 10
+    by = {r.doc_id: r for r in rows}
+    assert all(by[d].n_shingles == 0 and by[d].kept and by[d].component_id == d for d in (2, 3, 4))
+    assert by[1].kept and by[None].kept and by[None].n_shingles == 10
+    assert {r.doc_id for r in neardup.deduplicate(docs).collect()} == {r.doc_id for r in docs.collect()}
+    assert neardup.near_duplicates(docs.where("false")).collect() == []
+
+
+# chat formatting
+
+
+def test_chat_round_trip(spark):
+    hard = ["<|end|>\n", "\\", "<", "<\\|text|>", "\\<|", "a\\\\|", "<|more|><|", "", "x\n<|start|>user<|text|>", "Zeile\r\n"]
+    rows = [(1, k, "assistant" if k % 3 else "user", t) for k, t in enumerate(hard)]
+    rows += [(2, 1, "user", "q"), (2, 1, "assistant", "tie"), (2, None, None, None), (2, 5, "a<|text|>\\", "r"), (None, 0, "assistant", "n"), (None, 0, "assistant", "n")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("segments", F.lit(1))
+    got = chat.formatted(df.repartition(3)).withColumn("turns", chat.read_back(F.col("formatted"))).collect()
+    assert len(got) == 3
+    for r in got:
+        own = sorted(((t is not None, t or 0, role or "", text or "") for c, t, role, text in rows if c == r.conv_id))
+        assert [(t.role, t.text) for t in r.turns] == [x[2:] for x in own]
+        assert "".join(s.text for s in r.segments) == r.formatted
+        assert [s.loss for s in r.segments].count(True) == sum(x[2] == "assistant" for x in own)
+    digests = {r.conv_id: r for r in chat.digests(chat.formatted(df)).collect()}
+    loss = "".join(t for _, _, role, t in rows[: len(hard)] if role == "assistant")
+    assert (digests[1].n_turns, digests[1].loss_chars) == (len(hard), len(loss)) and digests[1].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+    assert digests[None].n_turns == 2 and chat.formatted(df.where("false")).collect() == []
+
+
+def test_adjacent_turns_of_a_role_are_one_block(spark):
+    df = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "user", "b"), (1, 2, "assistant", "c")], "conv_id bigint, turn bigint, role string, text string")
+    assert chat.formatted(df).first().formatted == "<|start|>user<|text|>a<|more|>b<|end|>\n<|start|>assistant<|text|>c<|end|>\n"
+
+
+# quality
+
+
+def test_counts_equal_plain_python(spark):
+    rng = random.Random(2)
+    texts = ["", " \n", "a", "a b c d e f g h " * 3, "x\x85y\u00a0z", "é# ü* | <>\n\n é# ü* | <>"] + ["\n".join(" ".join(rng.choices(["aa", "b#", "ç", "d$%"], k=rng.randint(0, 9))) for _ in range(12)) for _ in range(40)]
+    for text in texts:
+        found = re.findall(r"[^\x20\x09-\x0D]+", text)
+        windows = [tuple(found[i : i + 8]) for i in range(len(found) - 7)]
+        n = Counter(windows)
+        covered = {i + k for i, w in enumerate(windows) if n[w] > 1 for k in range(8)}
+        lines = [line for line in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", line)]
+        expected = (len(found), sum(map(len, found)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), len(lines))
+        assert quality.counts(text.encode(), WordHashes()) == expected
+
+
+def test_binomial_tail_and_sequence():
+    import math
+
+    for k, n, p in ((0, 10, 0.1), (3, 40, 0.05), (40, 40, 0.5)):
+        assert quality.binomial_tail(k, n, p) == pytest.approx(sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)))
+    assert quality.strictest([0, 0, 1, 500, 0], 3000, 0.01, 0.01) == 3
+    assert quality.strictest([0, 0], 50, 0.01, 0.01) == 0  # too few to show anything
+
+
+def test_cutoffs_lose_few_good_documents(spark):
+    good = "word here and there goes on " * 10
+    rows = [(i, " ".join(random.Random(i).choices(good.split() + [f"t{k}" for k in range(300)], k=60)), "en" if i % 4 else None, "s", 0) for i in range(6000)]
+    rows += [(6000 + i, " ".join(f"q{i}x{k}###" for k in range(60)), "en", "s", 0) for i in range(200)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, int(i < 6000), 0) for i in range(6200)] + [(None, 1, 0), (3, None, 1), (3, 1, 0)], "doc_id bigint, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.judged(docs, labels).collect()}
+    lost = [i for i in range(6000) if not got[i].kept and not got[i].base_failed]
+    assert len(lost) <= quality.RISK * 6000 and all(not got[i].kept for i in range(6000, 6200))
+    untaught = quality.judged(docs, labels.where("false")).collect()
+    assert all(r.kept == (not r.base_failed) for r in untaught)
+
+
+def test_quality_odd_documents(spark):
+    docs = odd_documents(spark)
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int")
+    rows = quality.judged(docs, labels).collect()
+    assert len(rows) == 10 and all(r.base_failed and not r.kept for r in rows)
+    assert quality.judged(docs.where("false"), labels).collect() == []
+
+
+# WARC
+
+
+def test_seekable_bundles_round_trip(spark):
+    rows = [(i, f"http://h/{i}\r\n x", ("é" * (i % 5) + str(i // 20)) * 5000) for i in range(200)] + [(200, None, None), (201, "u", ""), (None, "n", "only here"), (None, "n", "é"), (202, "u", "\r\n\r\nWARC/1.1\r\n\r\n")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("key", F.lit(1)).repartition(3)
+    folder = f"{scratch(spark)}/warc-test"
+    index = warc.written(pages, folder)
+    payload = {i: (h or "").encode() for i, _, h in rows if i is not None}
+    first = {}
+    for i in sorted(payload):
+        first.setdefault(payload[i], i)
+    for r in index.where("page_id is not null").sample(0.2, seed=1).collect():
+        head, body = warc.read_record(folder, r.bundle, r.frame, r.offset)
+        assert warc.number_of(head["WARC-Record-ID"]) == r.page_id
+        assert body == (payload[r.page_id] if head["WARC-Type"] == "response" else b"") and "\n" not in head["WARC-Target-URI"]
+    got = warc.read(spark, folder, index).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.page_id is not None:
+            own = payload[r.page_id]
+            assert (r.payload_bytes, r.payload_digest) == (len(own), warc.digest(own))
+            assert (r.record_type, r.refers_to) == (("response", None) if first[own] == r.page_id else ("revisit", first[own]))
+    assert {r.record_type for r in warc.archived(pages, least=10**6).collect()} == {"response"}
+    assert warc.archived(pages.where("false")).collect() == []
+
+
+def test_bundle_is_plain_zstandard_with_a_seek_table():
+    import io
+
+    import zstandard
+
+    bundle, records = warc.Bundle(), [warc.record(i, "u", bytes([65 + i % 26]) * 50_000, None, False) for i in range(20)]
+    places = [bundle.add(r) for r in records]
+    data = bundle.finished()
+    assert len(warc.seek_table(data)) == len({f for f, _ in places}) > 2
+    assert zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data), read_across_frames=True).read() == b"".join(records)
+    for record, (number, offset) in zip(records, places, strict=True):
+        assert warc.frame(data, number)[offset : offset + len(record)] == record
+
+
+# line dedup
+
+
+def test_line_dedup_equals_brute_force(spark):
+    rng = random.Random(9)
+    rows = [(d, "\n".join(rng.choices(["a", "b", "c", " ", ""], k=rng.randint(0, 12)))) for d in range(80)]
+    seen, gone = set(), {}
+    for d, text in rows:
+        lines = text.split("\n")
+        for i in range(len(lines) - 2):
+            window = tuple(lines[i : i + 3])
+            if not "".join(window).strip():
+                continue
+            if window in seen:
+                gone.setdefault(d, set()).update((i, i + 1, i + 2))
+            seen.add(window)
+    got = linededup.remove_repeated_windows(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert {r.doc_id: r.text for r in got} == {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone.get(d, ())) for d, t in rows}
+    assert {r.doc_id: r.n_removed for r in got} == {d: len(gone.get(d, ())) for d, _ in rows}
+
+
+def test_line_dedup_odd_documents(spark):
+    docs = odd_documents(spark)
+    rows = linededup.remove_repeated_windows(docs).collect()
+    by = {r.doc_id: r for r in rows}
+    assert len(rows) == 10 and by[2].text is None and by[3].text == "" and by[4].text == "\n \t\n"
+    assert by[6].n_removed == 0 and by[7].text == "x" and by[7].n_removed == 3
+    assert linededup.remove_repeated_windows(docs.where("false")).collect() == []
+    twice = spark.createDataFrame([(1, "a\nb\nc"), (1, "a\nb\nc"), (1, "q\na\nb\nc"), (None, "a\nb\nc")], "doc_id bigint, text string")
+    assert sorted(str(r.text) for r in linededup.remove_repeated_windows(twice).collect()) in (["", "", "a\nb\nc", "q"], ["", "", "a\nb\nc", "q"])
+
+
+@pytest.mark.parametrize("name", ["op7_chat", "op10_line_dedup"])
+def test_native_operators_run_no_python(spark, name):
+    plan = queries.QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
