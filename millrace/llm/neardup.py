@@ -263,7 +263,7 @@ def node_texts(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
 
     The ids grow with the corpus, so they're merged at any size, never broadcast.
     """
-    named = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).join(ids.select("id").where("id is not null").distinct(), "id", "left_semi")
+    named = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).join(ids.select("id").where("id is not null").distinct().hint("merge"), "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -278,5 +278,5 @@ def node_texts(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
 def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The documents that near_duplicates keeps, with all their columns; a doc_id of which any row is kept stays."""
     judged = near_duplicates(docs, words, percent)
-    gone = judged.groupBy(F.col("doc_id").alias("_gone")).agg(F.max("kept").alias("_kept")).where("not _kept")
+    gone = judged.groupBy(F.col("doc_id").alias("_gone")).agg(F.max("kept").alias("_kept")).where("not _kept").hint("merge")
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
