@@ -25,6 +25,7 @@ from millrace.llm.common import appended, small_batches
 PROFILE = 300
 SAMPLE = 3000
 UNKNOWN = "und"
+MOST_BROADCAST = 10_000
 
 
 @lru_cache(maxsize=1)
@@ -100,6 +101,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, size: int = PROFILE, doc_id: str
     if not counts:
         return Profiles.of({}, size)
     rates = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, sample / r["count"])) for r in counts], "of string, rate double")
+    if len(counts) <= MOST_BROADCAST:  # one row per language: else the texts would be shuffled to meet them
+        rates = F.broadcast(rates)
     draw = F.pmod(F.xxhash64(F.lit("language sample"), F.col(doc_id)), F.lit(1 << 30)) / float(1 << 30)
     picked = usable.join(rates, F.col(lang) == F.col("of")).where(draw < F.col("rate")).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
