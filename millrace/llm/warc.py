@@ -20,12 +20,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import scratch, small_batches, staged
 
 FRAME_BYTES, BUNDLE_BYTES, LEVEL = 256 << 10, 8 << 20, 3
+MOST_PARTS = 20_000
 # Fixed values of the seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 DATE = "2000-01-01T00:00:00Z"
@@ -210,17 +211,17 @@ def records(bundle: bytes) -> Iterator[dict]:
             yield {"page_id": number_of(head["WARC-Record-ID"]), "payload_bytes": length, "payload_digest": named, "record_type": kind, "refers_to": refers}
 
 
-def read(spark: SparkSession, folder: str, index: DataFrame) -> DataFrame:
-    """One row per record in the bundles that the index names."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
-    named = files.withColumn("bundle", F.element_at(F.split("path", "/"), -1)).join(index.select("bundle").distinct(), "bundle", "left_semi")
+def read(index: DataFrame, folder: str) -> DataFrame:
+    """One row per record in the bundles that the index names. Tasks open bundles themselves, one at a time; only names are shuffled."""
+    names = index.select("bundle").distinct()
+    parts = max(1, min(names.count(), MOST_PARTS))  # by number: names are short, and one task for all of them would be no reader
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                yield pa.RecordBatch.from_pylist(list(records(batch.column(0)[i].as_py())), READ_SCHEMA)
+            for name in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_pylist(list(records(get(folder, name))), READ_SCHEMA)
 
-    return named.select("content").mapInArrow(run, READ)
+    return names.repartition(parts).mapInArrow(run, READ)
 
 
 def archived(pages: DataFrame, least: int = 0) -> DataFrame:
@@ -229,4 +230,4 @@ def archived(pages: DataFrame, least: int = 0) -> DataFrame:
     index = written(pages, folder, least)
     if index.isEmpty():
         return pages.sparkSession.createDataFrame([], READ)
-    return read(pages.sparkSession, folder, index)
+    return read(index, folder)

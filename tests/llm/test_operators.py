@@ -429,7 +429,7 @@ def test_seekable_bundles_round_trip(spark):
         head, body = warc.read_record(folder, r.bundle, r.frame, r.offset)
         assert warc.number_of(head["WARC-Record-ID"]) == r.page_id
         assert body == (payload[r.page_id] if head["WARC-Type"] == "response" else b"") and "\n" not in head["WARC-Target-URI"]
-    got = warc.read(spark, folder, index).collect()
+    got = warc.read(index, folder).collect()
     assert len(got) == len(rows)
     for r in got:
         if r.page_id is not None:
