@@ -2,7 +2,8 @@
 
 A page is read once into blocks of text with the path of tags above each. Blocks of one path are taken together: the path's
 ratios are text and punctuation per block. The fused ratio of its path is a block's score; scores are smoothed along the page by a
-Gaussian, and paths over a threshold are content. The element that holds most of the content is the article.
+Gaussian, and blocks over a threshold are content. The element that holds the content is the article: article elements, or else
+main elements, in which content was found, each taken whole; failing these, the deepest element that holds most of the content.
 Elements that say by name, class or role that they're no article (menus, notices, comments, ...) never count.
 """
 
@@ -45,6 +46,7 @@ SIGMA, RADIUS, SHARE = 1.0, 2, 0.1
 @dataclass
 class Block:
     path: tuple[str, ...]
+    nodes: tuple[int, ...]  # the elements on the path, by their number on the page
     text: str
 
 
@@ -65,19 +67,20 @@ def named_away(name: str, attributes: str) -> bool:
 def blocks(page: str) -> list[Block]:
     """Blocks of text outside of elements that are named away. A broken page is read as far as its tags say."""
     found: list[Block] = []
-    stack: list[tuple[str, bool]] = []  # name, named away
-    away, seen_main, parts, at = 0, False, [], 0
+    stack: list[tuple[str, bool, int]] = []  # name, named away, number
+    away, seen_main, parts, at, opened = 0, False, [], 0, 0
 
     def flush() -> None:
         text = "".join(parts)
         parts.clear()
         text = SPACES.sub(" ", references.unescape(text) if "&" in text else text).strip()
         if text:
-            found.append(Block(tuple(n for n, _ in stack if n not in INLINE), text))
+            outer = [(n, k) for n, _, k in stack if n not in INLINE]
+            found.append(Block(tuple(n for n, _ in outer), tuple(k for _, k in outer), text))
 
     def pop_to(depth: int) -> None:
         nonlocal away
-        if any(n not in INLINE for n, _ in stack[depth:]):
+        if any(n not in INLINE for n, _, _ in stack[depth:]):
             flush()
         while len(stack) > depth:
             away -= stack.pop()[1]
@@ -115,8 +118,8 @@ def blocks(page: str) -> list[Block]:
             continue
         if name not in INLINE:
             flush()
-            if any(n == "p" for n, _ in stack):  # a block ends the paragraph before it
-                pop_to(max(i for i, (n, _) in enumerate(stack) if n == "p"))
+            if any(n == "p" for n, _, _ in stack):  # a block ends the paragraph before it
+                pop_to(max(i for i, (n, _, _) in enumerate(stack) if n == "p"))
         ended = CLOSED_BY.get(name)
         if ended:
             for i in range(len(stack) - 1, -1, -1):
@@ -127,13 +130,14 @@ def blocks(page: str) -> list[Block]:
                     break
         bad = named_away(name, tag["attributes"])
         if name in MAIN and away and not bad and not seen_main:  # an element before the article was left open
-            pop_to(next(i for i, (_, bad) in enumerate(stack) if bad))
+            pop_to(next(i for i, (_, hidden, _) in enumerate(stack) if hidden))
         seen_main |= name in MAIN and not bad
         if bad:
             flush()
         if tag["attributes"].endswith("/") and name in INLINE:
             continue
-        stack.append((name, bad))
+        opened += 1
+        stack.append((name, bad, opened))
         away += bad
     flush()
     return found
@@ -157,18 +161,24 @@ def content(found: list[Block]) -> list[str]:
     fused = {p: np.log1p(lengths[p] / number[p]) * np.log1p(marks[p] / number[p] + 0.5) * np.log1p(lengths[p]) for p in number}
     score = smoothed(np.array([fused[b.path] for b in found]))
     chosen = score >= SHARE * score.max()
-    for name in MAIN:  # the page itself says where its article is
-        inside = [b for b in found if name in b.path]
-        if inside:
-            return [b.text for b in inside]
-    weight = defaultdict(int)
+    weight = defaultdict(int)  # of elements: their content
+    depths: dict[int, int] = {}
+    total = 0
     for b, good in zip(found, chosen.tolist(), strict=True):
         if good:
-            for depth in range(len(b.path)):
-                weight[b.path[:depth]] += len(b.text)
-    most = max(weight.values(), default=0)
-    home = max((p for p in weight if weight[p] >= 0.8 * most), key=len, default=())
-    return [b.text for b, good in zip(found, chosen.tolist(), strict=True) if b.path[: len(home)] == home and (good or b.path[-1:] and b.path[-1] in HEADINGS)]
+            total += len(b.text)
+            for depth, node in enumerate(b.nodes):
+                weight[node] += len(b.text)
+                depths[node] = depth
+    for name in MAIN:
+        own = [next((k for n, k in zip(b.path, b.nodes, strict=True) if n == name), None) for b in found]
+        held = {k: weight[k] for k in own if k in weight}
+        if held and sum(held.values()) >= SHARE * total:
+            least = SHARE * max(held.values())
+            return [b.text for b, k in zip(found, own, strict=True) if held.get(k, -1) >= least]
+    home = max((k for k in weight if weight[k] >= 0.8 * total), key=depths.__getitem__, default=None)
+    inside = [home is None or home in b.nodes for b in found]
+    return [b.text for b, good, near in zip(found, chosen.tolist(), inside, strict=True) if near and (good or b.path[-1:] and b.path[-1] in HEADINGS)]
 
 
 def main_text(page: str | None) -> str:

@@ -243,6 +243,22 @@ def test_main_text(page, text):
     assert extract.main_text(page) == text
 
 
+LONG = "Prose of some length, with marks and clauses, goes on here. " * 8
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<article><p>{LONG}</p><p>End.</p></article><article><p>Teaser</p></article>", LONG.strip() + "\nEnd."),  # content paths choose the article
+        (f"<article><p>hi</p></article><div>{f'<p>{LONG}</p>' * 3}</div>", "\n".join([LONG.strip()] * 3)),  # the article tag holds next to nothing
+        (f"<body><div><span>x</span></div><div><p>{LONG}</p><p>{LONG}</p></div><div>y</div></body>", f"{LONG.strip()}\n{LONG.strip()}"),
+        (f"<main><div>Short</div><div><p>{LONG}</p></div></main>", f"Short\n{LONG.strip()}"),
+    ],
+)
+def test_ratios_choose_the_element(page, text):
+    assert extract.main_text(page) == text
+
+
 def test_extraction_of_the_table(spark):
     pages = spark.read.parquet(f"{FOLDER}/pages.parquet").withColumn("text", F.lit("clash"))
     rows = extract.extracted(pages).collect()
