@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WordHashes, shingles, small_batches, staged, texts
+from millrace.llm.common import WordHashes, bucketed, shingles, small_batches, staged, texts
 
 BANDS, ROWS = 40, 5
 SAMPLES = BANDS * ROWS
@@ -38,6 +38,8 @@ MOST_ODD = 128
 PIVOT_ROUNDS = 2
 #: Nodes of a block's two sides, when what the pivots left over is tested.
 BLOCK_ONE, BLOCK_TWO = 128, 512
+#: Pairs that share a pivot's text in one task; a pivot with more of them is salted.
+PIVOT_PAIRS = 512
 _RANDOM = np.random.default_rng(20240229)
 _TIMES = _RANDOM.integers(1, 1 << 31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _PLUS = _RANDOM.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
@@ -107,10 +109,17 @@ def alike(a: str, b: str, percent: int) -> Column:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold. ``sets`` has a text for each node."""
-    left = sets.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
-    right = sets.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    """The pairs (a, b) whose full sets reach the threshold. ``sets`` has a text for each node, bucketed by key.
+
+    Only the texts of the pairs' one side move, to their pivots; those of pivots with many pairs go to several places.
+    """
+    pivots = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PIVOT_PAIRS).alias("parts"))
+    hot = pivots.where("parts > 1")
+    left = pairs.select("a", "b").join(hot, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).alias("part"))
+    left = left.join(sets.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
+    right = pivots.join(sets.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
+    right = right.select("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), "text_b")
+    joined = left.join(right, ["b", "part"]).select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, last, last_set = WordHashes(), None, None
@@ -259,9 +268,9 @@ def block_links(table: pa.Table, words: int, percent: int) -> pa.Table:
 
 
 def node_texts(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(key, text) of the nodes in ``ids``, one row each, read from the documents again.
+    """(key, text) of the nodes in ``ids``, one row each, read from the documents again and bucketed by key.
 
-    The ids grow with the corpus, so they're merged at any size, never broadcast.
+    Rows that share a doc_id with a node come along, as nodes that no pair names. The ids grow with the corpus, so they're merged at any size, never broadcast.
     """
     named = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).join(ids.select("id").where("id is not null").distinct().hint("merge"), "id", "left_semi")
 
@@ -271,8 +280,8 @@ def node_texts(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
             keys = [set_key(found) if text and len(found := shingles(hashes.of(text.lower().split()), words)) else None for text in texts(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch.column(0)], ["key", "text"])
 
-    keyed = named.select("text").mapInArrow(run, "key binary, text string").join(ids.select("key"), "key", "left_semi")
-    return staged(keyed.dropDuplicates(["key"]), "texts")
+    keyed = named.select("text").mapInArrow(run, "key binary, text string").where("key is not null")
+    return bucketed(keyed, "texts", "key")
 
 
 def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
