@@ -136,23 +136,33 @@ def confirmed(pairs: DataFrame, sets: DataFrame, words: int, percent: int) -> Da
     return joined.mapInArrow(run, "a binary, b binary")
 
 
-def components(links: DataFrame, name: str = "components") -> DataFrame:
-    """(key, root): each node of an undirected graph with the smallest node that it reaches, by star contraction."""
-    edges = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
-    before = None
-    while True:
+def components(links: DataFrame, stars: DataFrame | None = None) -> DataFrame:
+    """Edges (u, v) from each node of an undirected graph to the smallest node that it reaches, unless that is itself, by star contraction.
+
+    ``stars`` are such edges of the graph without ``links``: what they have contracted isn't contracted again.
+    """
+    added = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
+    edges = staged((added if stars is None else added.unionByName(stars)).distinct(), "components")
+    while not contracted(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         roots = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(roots, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = staged(small.unionByName(roots.select("u", F.col("m").alias("v"))).distinct(), name)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    roots = edges.select(F.col("v").alias("key"), F.col("v").alias("root")).distinct()
-    return edges.select(F.col("u").alias("key"), F.col("v").alias("root")).unionByName(roots)
+        edges = staged(small.unionByName(roots.select("u", F.col("m").alias("v"))).distinct(), "components")
+    return edges
+
+
+def contracted(edges: DataFrame) -> bool:
+    """Are distinct edges from larger to smaller nodes stars? No node then has two edges up, or edges both up and down."""
+    ends = edges.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up > 0 and down > 0").isEmpty()
+
+
+def rooted_nodes(stars: DataFrame) -> DataFrame:
+    """(key, root) of every node of the stars, their roots included."""
+    roots = stars.select(F.col("v").alias("key"), F.col("v").alias("root")).distinct()
+    return stars.select(F.col("u").alias("key"), F.col("v").alias("root")).unionByName(roots)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -170,13 +180,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     members = staged(banded.join(shared, "bucket").select("bucket", "key"), "members")
     near = members.select("key").distinct()
     known = staged(signed.where("key is not null").join(near, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("odd").alias("odd")), "nodes")
-    links = all_links(docs, members, known, words, percent)
-    roots = components(links) if links is not None else None
+    stars = all_stars(docs, members, known, words, percent)
     ids = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("id"))
-    if roots is None:
+    if stars is None:
         named = ids.withColumnRenamed("id", "component_id")
     else:
-        rooted = ids.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+        rooted = ids.join(rooted_nodes(stars), "key", "left").withColumn("root", F.coalesce("root", "key"))
         smallest = rooted.where("root <> key").groupBy("root").agg(F.min("id").alias("others"))
         of_root = ids.select(F.col("key").alias("root"), F.col("id").alias("own")).join(smallest, "root").select("root", F.least("own", "others").alias("component"))
         named = rooted.join(of_root, "root", "left").select("key", F.coalesce("component", "id").alias("component_id"))
@@ -185,8 +194,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def all_links(docs: DataFrame, members: DataFrame, known: DataFrame, words: int, percent: int) -> DataFrame | None:
-    """Links that connect all that is connected; None if no bucket is shared."""
+def all_stars(docs: DataFrame, members: DataFrame, known: DataFrame, words: int, percent: int) -> DataFrame | None:
+    """components() of links that connect all that is connected; None if no bucket is shared."""
     if members.isEmpty():
         return None
     one = known.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("odd").alias("odd_a"))
@@ -194,21 +203,21 @@ def all_links(docs: DataFrame, members: DataFrame, known: DataFrame, words: int,
     sets = node_texts(docs, known.select("key", "id"), words)
     pivots = members.groupBy("bucket").agg(F.min("key").alias("b"))
     against = members.join(pivots, "bucket").where("key <> b").select(F.col("key").alias("a"), "b").distinct()
-    links = None
+    links = stars = None
     for _ in range(PIVOT_ROUNDS):
         sifted = against.join(one, "a").join(two, "b").where(alike("a", "b", percent))
         best = sifted.groupBy("a").agg(F.min_by("b", F.struct(odd_bits("odd_a", "odd_b"), "b")).alias("b"))
-        made = confirmed(staged(best, "tests"), sets, words, percent)
-        links = staged(made if links is None else links.unionByName(made), "links")
-        roots = components(links)
-        placed = members.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+        made = staged(confirmed(staged(best, "tests"), sets, words, percent), "links")
+        links = made if links is None else links.unionByName(made)
+        stars = components(made, stars)
+        placed = members.join(rooted_nodes(stars), "key", "left").withColumn("root", F.coalesce("root", "key"))
         split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
         placed = staged(placed.join(split, "bucket"), "placed")
         degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("links"))
         ranked = placed.join(degree, "key", "left").select("bucket", F.struct(F.coalesce("links", F.lit(0)).alias("links"), "key", "root").alias("hub"))
         hubs = ranked.groupBy("bucket").agg(F.max("hub").alias("hub"))
         against = placed.join(hubs, "bucket").where("hub.root <> root").select(F.col("key").alias("a"), F.col("hub.key").alias("b")).distinct()
-    return staged(links.unionByName(rest(placed, known, sets, words, percent)), "links")
+    return components(rest(placed, known, sets, words, percent), stars)
 
 
 def rest(placed: DataFrame, known: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
