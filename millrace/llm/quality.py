@@ -1,17 +1,18 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule rejects documents whose ratio is over a cutoff. Cutoffs are tested on labelled holdouts, per stratum (lang): the null
-hypothesis "this cutoff rejects ``RISK`` / rules or more of the good documents" is tested by the exact binomial tail, which is the Clopper-Pearson
-upper bound turned round. For a rule and a stratum, cutoffs are tested from the loosest on and the strictest before
-the first failure is taken (fixed-sequence testing needs no correction within a sequence); over all rules and
-strata the level is divided by their number (Bonferroni). So with probability 1 - LEVEL at least, no stratum loses over RISK
-of its good documents. A stratum with too few holdouts gets no cutoff and loses nothing.
+Each rule rejects documents whose ratio is over a cutoff. Combinations of cutoffs are tested on labelled holdouts, per stratum (lang): the null
+hypothesis "the rules together reject ``RISK`` or more of the good documents" is tested by the exact binomial tail, which is the Clopper-Pearson
+upper bound turned round. The combinations of a stratum are one sequence, ordered before any data is seen: each tightens one rule by one cutoff.
+They are tested from the loosest on and the strictest before the first failure is taken (fixed-sequence testing needs no correction within
+a sequence); over all strata the level is divided by their number (Bonferroni). So with probability 1 - LEVEL at least, no stratum loses over RISK
+of its good documents. A stratum with too few holdouts (under 217 of four strata) gets no cutoff and loses nothing.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ RULES: dict[str, tuple[str, list[float]]] = {
     "long_words": ("word_chars / greatest(n_words, 1)", [30.0, 20.0, 15.0, 12.0, 10.0, 9.0, 8.0, 7.0]),
     "short_words": ("- (word_chars / greatest(n_words, 1))", [-1.0, -1.5, -2.0, -2.5, -3.0, -3.5, -4.0]),
 }
+#: (rule, cutoff) in the order in which the rules are tightened: all in proportion to the length of their grids.
+SEQUENCE = [(rule, cut) for *_, rule, cut in sorted(((i + 1) / len(grid), k, rule, cut) for k, (rule, (_, grid)) in enumerate(RULES.items()) for i, cut in enumerate(grid))]
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 _SYMBOLS, _SPACES = b"#*$%&|<>", b" \t\n\x0b\x0c\r"
 
@@ -91,21 +94,32 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
+def first_rejected() -> Column:
+    """Place in SEQUENCE of the first combination that rejects a document; its length if none does."""
+    firsts = []
+    for rule, (ratio, grid) in RULES.items():
+        first = F
+        for cut in grid:
+            first = first.when(F.expr(ratio) > cut, F.lit(SEQUENCE.index((rule, cut))))
+        firsts.append(first.otherwise(F.lit(len(SEQUENCE))))
+    return F.least(*firsts)
+
+
 def cutoffs(known: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> dict[str | None, dict[str, float]]:
     """Cutoffs per stratum from labelled good documents; a document is good if all its labels have quality 1.
 
-    One row of counts per stratum comes to the driver, nothing per document.
+    A count per stratum and combination comes to the driver, nothing per document.
     """
     good = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("quality")).where("quality = 1")
     held = known.where(~base_failed()).join(good, F.col("doc_id") == F.col("_id"))
-    over = [F.sum((F.expr(ratio) > cut).cast("bigint")).alias(f"{rule}_{i}") for rule, (ratio, grid) in RULES.items() for i, cut in enumerate(grid)]
-    rows = held.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *over).collect()
+    first: dict[str | None, list[int]] = {}
+    for lang, place, n in held.groupBy("lang", first_rejected().alias("place")).count().collect():
+        first.setdefault(lang, [0] * (len(SEQUENCE) + 1))[place] = n
     out: dict[str | None, dict[str, float]] = {}
-    for row in rows:
-        for rule, (_, grid) in RULES.items():
-            passed = strictest([row[f"{rule}_{i}"] for i in range(len(grid))], row["n"], risk / len(RULES), level / (len(rows) * len(RULES)))
-            if passed:
-                out.setdefault(row["lang"], {})[rule] = grid[passed - 1]
+    for lang, counted in first.items():
+        passed = strictest(list(accumulate(counted[:-1])), sum(counted), risk, level / len(first))
+        if passed:
+            out[lang] = dict(SEQUENCE[:passed])
     return out
 
 

@@ -421,6 +421,20 @@ def test_cutoffs_lose_few_good_documents(spark):
     assert all(r.kept == (not r.base_failed) for r in untaught)
 
 
+def test_few_hundred_good_labels_give_cutoffs(spark):
+    good, junk = " ".join(f"word{i}" for i in range(40)), " ".join(f"a{i}##" for i in range(40))
+    rows = [(i, junk if i % 10 == 9 else good, "abcd"[i // 400], "s", 0) for i in range(1600)] + [(1600 + i, junk, "e", "s", 0) for i in range(100)]
+    labels = spark.createDataFrame([(r[0], int(r[1] == good), 0) for r in rows if r[0] < 1600], "doc_id bigint, quality int, toxic int")
+    got = {r.doc_id: r.kept for r in quality.judged(spark.createDataFrame(rows, DOCS), labels).collect()}
+    assert all(got[i] == (text == good or lang == "e") for i, text, lang, *_ in rows)  # 360 good ones a stratum; nothing is known of e
+
+
+def test_sequence_tightens_every_rule_to_its_end():
+    assert len(quality.SEQUENCE) == sum(len(grid) for _, grid in quality.RULES.values())
+    assert all([cut for r, cut in quality.SEQUENCE if r == rule] == grid for rule, (_, grid) in quality.RULES.items())
+    assert dict(quality.SEQUENCE) == {rule: grid[-1] for rule, (_, grid) in quality.RULES.items()}
+
+
 def test_quality_odd_documents(spark):
     docs = odd_documents(spark)
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int")
