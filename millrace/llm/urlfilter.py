@@ -1,7 +1,8 @@
 """URL filters: rules by host and path, and link-graph propagation for hosts that no rule names.
 
 Trust starts from hosts with allowed pages and follows links (personalised PageRank); distrust starts from hosts
-with blocked pages and follows links backwards, to those who link to them. A host's share of distrust in both is held against a threshold.
+with blocked pages and follows links backwards, to those who link to them. Both are followed until they have converged. A host's share of distrust
+in both is held against a threshold.
 Scores, edges and pages stay in Spark; the edges of a pair of hosts are one row, so that a hot host is small before it is joined.
 """
 
@@ -13,7 +14,10 @@ from pyspark.sql import functions as F
 from millrace.llm.common import lower_ascii, staged
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+#: STEPS is of the SQL alone, which stops there; propagated() goes on until it has converged.
 DAMPING, STEPS, CUT_EVERY = 0.85, 8, 4
+#: Converged: in CUT_EVERY steps no host's score grew by more than this share of itself, and none was reached anew.
+TOLERANCE = 1e-6
 #: Distrust / (trust + distrust) of a host from which on it is blocked.
 THRESHOLD = 0.5
 HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*([a-z][a-z0-9+.-]*://[^"'\s>]+)"""
@@ -46,10 +50,11 @@ def links(pages: DataFrame) -> DataFrame:
     return pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagated(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, steps: int = STEPS) -> DataFrame:
-    """(host, trust, distrust) after ``steps`` steps. ``seeds``: host, trust, distrust, each summing to 1 or 0; ``edges``: src, dst, n.
+def propagated(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, trust, distrust), converged. ``seeds``: host, trust, distrust, each summing to 1 or 0; ``edges``: src, dst, n.
 
-    Both run at once, trust on the edges and distrust on the reversed ones.
+    Both run at once, trust on the edges and distrust on the reversed ones. Scores start low and only grow, at a rate that falls by ``damping`` a step,
+    so a host's growth relative to its score tells how far it has come, however small the score.
     """
     both = edges.select(F.lit("trust").alias("kind"), "src", "dst", "n").unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     out = both.groupBy("kind", "src").agg(F.sum("n").alias("total"))
@@ -57,12 +62,16 @@ def propagated(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, ste
     start = staged(seeds.select("host", F.expr("stack(2, 'trust', trust, 'distrust', distrust) as (kind, score)")).where("score > 0"), "seeds")
     scores = start
     if not weighted.isEmpty():
-        again = start.withColumn("score", F.col("score") * (1 - damping))
-        for step in range(1, steps + 1):
-            sent = weighted.join(scores.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
-            scores = sent.unionByName(again.select("kind", "host", "score")).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-            if step % CUT_EVERY == 0:
-                scores = staged(scores, "scores")
+        again = scores = start.withColumn("score", F.col("score") * (1 - damping))
+        grown = 1.0
+        while grown > tolerance:
+            before = scores.select("kind", "host", F.col("score").alias("old"))
+            for _ in range(CUT_EVERY):
+                sent = weighted.join(scores.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
+                scores = sent.unionByName(again.select("kind", "host", "score")).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+            scores = staged(scores, "scores")
+            growth = (F.col("score") - F.coalesce(F.col("old"), F.lit(0.0))) / F.col("score")
+            grown = scores.join(before, ["kind", "host"], "left").agg(F.max(growth)).first()[0] or 0.0
     kind = lambda k: F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)).alias(k)
     return scores.groupBy("host").agg(kind("trust"), kind("distrust"))
 

@@ -156,6 +156,26 @@ def test_propagation_equals_dense_arithmetic(spark):
     assert urlfilter.filtered(pages.where("false")).collect() == []
 
 
+def test_propagation_goes_on_to_the_end_of_a_chain(spark):
+    rows = [(i, f"http://h{i}.net/", f'<a href="http://h{i + 1}.net/">') for i in range(11)] + [(11, "http://h11.net/", '<a href="http://bad.com/de/1">'), (12, "http://bad.com/de/1", None)]
+    got = urlfilter.filtered(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert len(got) == 13 and {r.verdict for r in got} == {"block"}
+
+
+def test_propagation_converges(spark):
+    edges = {(f"c{i}", f"c{i + 1}"): 1 for i in range(10)} | {("c10", "c7"): 2, ("c3", "x"): 3, ("x", "c3"): 1, ("c10", "bad"): 1}
+    hosts = sorted({h for e in edges for h in e})
+    got = {r.host: r for r in urlfilter.propagated(spark.createDataFrame([("c0", 1.0, 0.0), ("bad", 0.0, 1.0)], "host string, trust double, distrust double"), spark.createDataFrame([(*e, n) for e, n in edges.items()], "src string, dst string, n bigint")).collect()}
+    a = np.zeros((len(hosts), len(hosts)))
+    for (src, dst), n in edges.items():
+        a[hosts.index(src), hosts.index(dst)] = n
+    for kind, matrix, seed in (("trust", a, "c0"), ("distrust", a.T, "bad")):
+        share = matrix / np.maximum(matrix.sum(axis=1, keepdims=True), 1)
+        first = np.array([float(h == seed) for h in hosts])
+        exact = np.linalg.solve(np.eye(len(hosts)) - urlfilter.DAMPING * share.T, (1 - urlfilter.DAMPING) * first)
+        assert [got[h][kind] for h in hosts] == pytest.approx(exact.tolist(), rel=1e-4)
+
+
 # decontamination
 
 
