@@ -21,6 +21,8 @@ TOLERANCE = 1e-6
 #: Distrust / (trust + distrust) of a host from which on it is blocked.
 THRESHOLD = 0.5
 HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*([a-z][a-z0-9+.-]*://[^"'\s>]+)"""
+#: Links that leave out the scheme; it is their page's.
+BARE = r"""(?i)<a\s[^>]*?(?<![\w-])href\s*=\s*["']?\s*(//[^"'\s>]+)"""
 
 
 def host_of(url: Column) -> Column:
@@ -45,7 +47,8 @@ def matched(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
 
 def links(pages: DataFrame) -> DataFrame:
     """(src, dst, n): links between different hosts in the pages' html, counted per pair."""
-    to = pages.select(host_of(F.col("url")).alias("src"), F.explode(F.regexp_extract_all("html", F.lit(HREF), F.lit(1))).alias("href"))
+    bare = F.transform(F.regexp_extract_all("html", F.lit(BARE), F.lit(1)), lambda href: F.concat(F.lit(":"), href))
+    to = pages.select(host_of(F.col("url")).alias("src"), F.explode(F.concat(F.regexp_extract_all("html", F.lit(HREF), F.lit(1)), bare)).alias("href"))
     pairs = to.select("src", host_of(F.col("href")).alias("dst")).where("src <> '' and dst <> '' and src <> dst")
     return pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 

@@ -156,6 +156,12 @@ def test_propagation_equals_dense_arithmetic(spark):
     assert urlfilter.filtered(pages.where("false")).collect() == []
 
 
+def test_links_without_a_scheme(spark):
+    html = """<a class=x HREF="//B.net/q">b</a><a href='//b.net://c'><a href=//c.net?x><a href="///d.net"><a href="/e//f.net"><a data-href="//g.net" href="https://h.net"><a href=" //a.net/">"""
+    pages = spark.createDataFrame([(1, "http://a.net/", html), (2, None, html), (3, "http://a.net/", None)], "page_id bigint, url string, html string")
+    assert {(r.src, r.dst): r.n for r in urlfilter.links(pages).collect()} == {("a.net", "b.net"): 1, ("a.net", "b.net:"): 1, ("a.net", "c.net"): 1, ("a.net", "h.net"): 1}
+
+
 def test_propagation_goes_on_to_the_end_of_a_chain(spark):
     rows = [(i, f"http://h{i}.net/", f'<a href="http://h{i + 1}.net/">') for i in range(11)] + [(11, "http://h11.net/", '<a href="http://bad.com/de/1">'), (12, "http://bad.com/de/1", None)]
     got = urlfilter.filtered(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
