@@ -4,7 +4,8 @@ A page is read once into blocks of text with the path of tags above each. Blocks
 ratios are text and punctuation per block. The fused ratio of its path is a block's score; scores are smoothed along the page by a
 Gaussian, and blocks over a threshold are content. The element that holds the content is the article: article elements, or else
 main elements, in which content was found, each taken whole; failing these, the deepest element that holds most of the content.
-Elements that say by name, class or role that they're no article (menus, notices, comments, ...) never count.
+Elements that say by tag, role or a whole name in class or id that they're no article (menus, notices, comments, ...) don't count; one that
+is only named so and yet holds most of the page's content does.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ WORDS = frozenset(
     "sponsor sponsored comment comments respond reply replies discussion disqus share sharing social related recommended breadcrumb breadcrumbs widget popup modal overlay newsletter "
     "subscribe subscription login signup search pagination pager toolbar masthead topbar skip".split()
 )
+#: What a name may hold besides WORDS and still be one of theirs: site-footer is, has-sidebar and related-work aren't.
+NEUTRAL = frozenset("site page main top bottom left right list item items box bar bars container wrapper wrap section block area inner outer primary secondary post posts article articles entry button buttons link links form global sticky mobile desktop js".split())
 #: A comment may be an article by its tag.
 COMMENTS = frozenset("comment comments reply replies respond".split())
 #: An open element that a start tag of these ends.
@@ -48,27 +51,43 @@ class Block:
     path: tuple[str, ...]
     nodes: tuple[int, ...]  # the elements on the path, by their number on the page
     text: str
+    named: tuple[int, ...] = ()  # those of them that are named away, but not for certain
 
 
-def named_away(name: str, attributes: str) -> bool:
-    """Does an element say that it's no article?"""
+HARD, SOFT = 2, 1
+
+
+def says(token: str, words: frozenset[str]) -> bool:
+    parts = {p for p in re.split(r"[^a-z0-9]+", token) if p}
+    return bool(parts & words) and parts <= words | NEUTRAL
+
+
+def named_away(name: str, attributes: str) -> int:
+    """Does an element say that it's no article? HARD: by its tag or role, as a comment, or in a line; SOFT: by another name."""
     if name in NEVER:
-        return True
+        return HARD
     if not attributes or name in ("html", "body"):
-        return False
-    words = COMMENTS if name in MAIN else WORDS
-    for kind, *values in ATTRIBUTE.findall(attributes):
-        found = set(re.split(r"[^a-z0-9]+", "".join(values).lower()))
-        if found & (ROLES if kind.lower() == "role" else words):
-            return True
-    return False
+        return 0
+    given = [(kind.lower(), "".join(values).lower().split()) for kind, *values in ATTRIBUTE.findall(attributes)]
+    titled = name == "section" or any(kind == "class" and "section" in tokens for kind, tokens in given)  # its id is a place in the text
+    soft = 0
+    for kind, tokens in given:
+        if kind == "role":
+            if ROLES.intersection(tokens):
+                return HARD
+        elif kind == "class" or name not in INLINE and name not in HEADINGS:
+            if any(says(t, COMMENTS) for t in tokens):
+                return HARD
+            if name not in MAIN and not (kind == "id" and titled) and any(says(t, WORDS) for t in tokens):
+                soft = HARD if name in INLINE else SOFT
+    return soft
 
 
 def blocks(page: str) -> list[Block]:
-    """Blocks of text outside of elements that are named away. A broken page is read as far as its tags say."""
+    """Blocks of text outside of elements that are named away for certain. A broken page is read as far as its tags say."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # name, named away, number
-    away, seen_main, parts, at, opened = 0, False, [], 0, 0
+    stack: list[tuple[str, int, int]] = []  # name, named away, number
+    away, named, seen_main, parts, at, opened = 0, 0, False, [], 0, 0
 
     def flush() -> None:
         text = "".join(parts)
@@ -76,14 +95,16 @@ def blocks(page: str) -> list[Block]:
         text = SPACES.sub(" ", references.unescape(text) if "&" in text else text).strip()
         if text:
             outer = [(n, k) for n, _, k in stack if n not in INLINE]
-            found.append(Block(tuple(n for n, _ in outer), tuple(k for _, k in outer), text))
+            found.append(Block(tuple(n for n, _ in outer), tuple(k for _, k in outer), text, tuple(k for _, hidden, k in stack if hidden)))
 
     def pop_to(depth: int) -> None:
-        nonlocal away
+        nonlocal away, named
         if any(n not in INLINE for n, _, _ in stack[depth:]):
             flush()
         while len(stack) > depth:
-            away -= stack.pop()[1]
+            hidden = stack.pop()[1]
+            away -= hidden == HARD
+            named -= hidden > 0
 
     while True:
         tag = TAG.search(page, at)
@@ -129,7 +150,7 @@ def blocks(page: str) -> list[Block]:
                     pop_to(i)
                     break
         bad = named_away(name, tag["attributes"])
-        if name in MAIN and away and not bad and not seen_main:  # an element before the article was left open
+        if name in MAIN and named and not bad and not seen_main:  # an element before the article was left open
             pop_to(next(i for i, (_, hidden, _) in enumerate(stack) if hidden))
         seen_main |= name in MAIN and not bad
         if bad:
@@ -138,7 +159,8 @@ def blocks(page: str) -> list[Block]:
             continue
         opened += 1
         stack.append((name, bad, opened))
-        away += bad
+        away += bad == HARD
+        named += bad > 0
     flush()
     return found
 
@@ -149,10 +171,8 @@ def smoothed(scores: np.ndarray) -> np.ndarray:
     return np.convolve(padded, kernel / kernel.sum(), "valid")
 
 
-def content(found: list[Block]) -> list[str]:
-    """Texts of the article's blocks, in order."""
-    if not found:
-        return []
+def over_threshold(found: list[Block]) -> np.ndarray:
+    """Which blocks are content by the ratios of their paths."""
     lengths, marks, number = defaultdict(int), defaultdict(int), defaultdict(int)
     for b in found:
         lengths[b.path] += len(b.text)
@@ -160,7 +180,30 @@ def content(found: list[Block]) -> list[str]:
         number[b.path] += 1
     fused = {p: np.log1p(lengths[p] / number[p]) * np.log1p(marks[p] / number[p] + 0.5) * np.log1p(lengths[p]) for p in number}
     score = smoothed(np.array([fused[b.path] for b in found]))
-    chosen = score >= SHARE * score.max()
+    return score >= SHARE * score.max()
+
+
+def outside_named(found: list[Block]) -> list[Block]:
+    """Blocks outside of named elements. A named element counts as any other if it holds most of the content, and that is prose: a mark per block at least."""
+    if not any(b.named for b in found):
+        return found
+    held, marks, number, total = defaultdict(int), defaultdict(int), defaultdict(int), 0
+    for b, good in zip(found, over_threshold(found).tolist(), strict=True):
+        total += good * len(b.text)
+        for node in b.named if good else ():
+            held[node] += len(b.text)
+            marks[node] += len(PUNCTUATION.findall(b.text))
+            number[node] += 1
+    excused = {k for k in held if 2 * held[k] > total and marks[k] >= number[k]}
+    return [b for b in found if excused.issuperset(b.named)]
+
+
+def content(found: list[Block]) -> list[str]:
+    """Texts of the article's blocks, in order."""
+    found = outside_named(found)
+    if not found:
+        return []
+    chosen = over_threshold(found)
     weight = defaultdict(int)  # of elements: their content
     depths: dict[int, int] = {}
     total = 0

@@ -285,6 +285,21 @@ def test_ratios_choose_the_element(page, text):
     assert extract.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div class='wrapper has-sidebar'><p>{LONG}</p></div>", LONG.strip()), (f"<div class='layout no-sidebar'><p>{LONG}</p><ul class='main-nav'><li>m</ul></div>", LONG.strip()),
+        (f"<article><p>{LONG}</p><section id=discussion><p>{LONG}</p></section></article>", f"{LONG.strip()}\n{LONG.strip()}"), (f"<article><h2 id=search>S</h2><p>{LONG}</p></article>", f"S\n{LONG.strip()}"),
+        (f"<article><div id=related-work><p>{LONG}</p></div><p>a <span id=login>b</span> c</p></article>", f"{LONG.strip()}\na b c"), (f"<article><div id=discussion class='section level2'><p>{LONG}</p></div></article>", LONG.strip()),
+        (f"<div class=overlay><p>{LONG}</p><p>{LONG}</p><div class=share>Share, now.</div></div><p>x</p>", f"{LONG.strip()}\n{LONG.strip()}"),  # holds most of the content
+        (f"<article><p>{LONG}</p><div class='site-footer'>f.</div><div class='share-buttons'>s</div><div id=comments><p>{LONG}</p><p>{LONG}</p></div></article>", LONG.strip()),
+        ("<body><ul class=menu><li>a<li>b</ul></body>", ""), (f"<article><p>{LONG}</p><section id=comments><p>{LONG * 9}</p></section></article>", LONG.strip()),
+    ],
+)
+def test_names_take_out_whole_names_only(page, text):
+    assert extract.main_text(page) == text
+
+
 def test_extraction_of_the_table(spark):
     pages = spark.read.parquet(f"{FOLDER}/pages.parquet").withColumn("text", F.lit("clash"))
     rows = extract.extracted(pages).collect()
