@@ -27,6 +27,8 @@ SPACES = re.compile(r"\s+")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math object canvas xmp noembed".split())
+#: Those of them that go on to the page's end without an end tag.
+TO_THE_END = frozenset("script style textarea title".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NEVER = frozenset("head nav header footer aside form menu dialog button select fieldset audio video".split())
@@ -87,6 +89,7 @@ def blocks(page: str) -> list[Block]:
     """Blocks of text outside of elements that are named away for certain. A broken page is read as far as its tags say."""
     found: list[Block] = []
     stack: list[tuple[str, int, int]] = []  # name, named away, number
+    unclosed: set[str] = set()
     away, named, seen_main, parts, at, opened = 0, 0, False, [], 0, 0
 
     def flush() -> None:
@@ -128,7 +131,11 @@ def blocks(page: str) -> list[Block]:
                 flush()
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
+            end = None if name in unclosed else re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
+            if not end and name not in TO_THE_END:  # read on after the start tag; no later one has an end either
+                unclosed.add(name)
+                flush()
+                continue
             if name not in ("svg", "math") and not away:
                 parts.append(" ")
             at = end.end() if end else (at if tag["attributes"].rstrip().endswith("/") else len(page))

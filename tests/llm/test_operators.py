@@ -300,6 +300,16 @@ def test_names_take_out_whole_names_only(page, text):
     assert extract.main_text(page) == text
 
 
+@pytest.mark.parametrize("name", ["noscript", "object", "canvas", "svg", "math", "template"])
+def test_unclosed_elements_take_no_article_along(name):
+    assert extract.main_text(f"<p>Start.</p><{name} class=x><article><p>{LONG}</p><{name}><p>End.</p></article>") == f"{LONG.strip()}\nEnd."
+    assert extract.main_text(f"<article><p>a <{name}>gone</{name}> b</p></article>") == "a b"
+
+
+def test_unclosed_scripts_go_on_to_the_end():
+    assert extract.main_text("<article><p>Text.</p><script>var t = '<p>no</p>'</article>") == "Text."
+
+
 def test_extraction_of_the_table(spark):
     pages = spark.read.parquet(f"{FOLDER}/pages.parquet").withColumn("text", F.lit("clash"))
     rows = extract.extracted(pages).collect()
