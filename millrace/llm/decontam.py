@@ -37,10 +37,11 @@ def needed(size: int, threshold: float) -> int:
 
 
 class Sketches:
-    """A block of items: full sets and sketches, by sorted hash."""
+    """A block of items: full sets and sketches, by sorted hash. An item of several texts has the set of all of them, then each one's."""
 
-    def __init__(self, items: dict[int, np.ndarray], threshold: float, samples: int = SAMPLES):
-        self.ids, sets = list(items), list(items.values())
+    def __init__(self, items: dict[int, list[np.ndarray]], threshold: float, samples: int = SAMPLES):
+        entries = [(i, s) for i, own in items.items() for s in ([np.unique(np.concatenate(own))] if len(own) > 1 else []) + own]
+        self.ids, sets = [i for i, _ in entries], [s for _, s in entries]
         self.sizes = np.array([len(s) for s in sets], np.int64)
         self.least = np.array([needed(n, threshold) for n in self.sizes.tolist()], np.int64)
         partition = np.array([int(n).bit_length() for n in self.sizes.tolist()], np.int64)
@@ -71,18 +72,22 @@ class Sketches:
         return np.concatenate(spans) if spans else np.empty(0, np.int64)
 
     def search(self, document: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, its shingles, shared shingles) of each item contained; ``document`` is a set of hashes."""
+        """(item, its shingles, shared shingles) of each item contained, once; ``document`` is a set of hashes."""
         near = document[self.bits[self._slot(document)]]
         hits = Counter(self._hits(self.sketch, self.sketch_of, near).tolist()) if len(near) else {}
         candidates = [i for i, n in hits.items() if n >= self.hit_least[i]]
         if not candidates:
             return []
         shared = Counter(self._hits(self.full, self.full_of, document).tolist())
-        return [(self.ids[i], int(self.sizes[i]), shared[i]) for i in sorted(candidates) if shared[i] >= self.least[i]]
+        found: dict[int, tuple[int, int, int]] = {}
+        for i in sorted(candidates):
+            if shared[i] >= self.least[i]:
+                found.setdefault(self.ids[i], (self.ids[i], int(self.sizes[i]), shared[i]))
+        return list(found.values())
 
 
-def blocks(items: DataFrame, words: int = WORDS, most: int = BLOCK_SHINGLES) -> Iterator[dict[int, np.ndarray]]:
-    """Items as shingle sets, in blocks of bounded size; an item is read once, by a stream of the driver's."""
+def blocks(items: DataFrame, words: int = WORDS, most: int = BLOCK_SHINGLES) -> Iterator[dict[int, list[np.ndarray]]]:
+    """Items as shingle sets, one for each text, in blocks of bounded size; an item is read once, by a stream of the driver's."""
     hashes, block, size = WordHashes(), {}, 0
     for row in items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).dropna().toLocalIterator():
         found = hashes.of(row["text"].encode().lower().split())
@@ -92,7 +97,7 @@ def blocks(items: DataFrame, words: int = WORDS, most: int = BLOCK_SHINGLES) ->
             yield block
             block, size = {}, 0
         made = shingles(found, words)
-        block[row["item_id"]] = np.union1d(made, block.get(row["item_id"], made))
+        block.setdefault(row["item_id"], []).append(made)
         size += len(made)
     if block:
         yield block
@@ -117,7 +122,7 @@ def find_contained(docs: DataFrame, items: DataFrame, words: int = WORDS, thresh
 
     ``docs`` has doc_id and text, ``items`` item_id and text. Words are lower-cased A-Z. Items of fewer than ``words`` words
     can't be told from chance and are never found; null and empty texts hold nothing, and items without id or text are left out.
-    Several texts of an item_id are one item. Repeated documents are found each; a null doc_id is found too. No documents or no items: no pairs.
+    An item_id of several texts is found if all of them together are, or else any one of them, whose counts the row then has. Repeated documents are found each; a null doc_id is found too. No documents or no items: no pairs.
     """
     small_batches(docs.sparkSession)
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))

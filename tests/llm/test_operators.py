@@ -215,6 +215,15 @@ def test_containment_equals_brute_force(spark):
     assert decontam.find_contained(left, right.where("false")).collect() == [] and decontam.find_contained(left.where("false"), right).collect() == []
 
 
+def test_any_text_of_an_item_is_found(spark):
+    one, two = " ".join(f"a{i}" for i in range(14)), " ".join(f"b{i}" for i in range(24))
+    docs = spark.createDataFrame([(1, f"x {one} y"), (2, f"{two} y"), (3, f"{one} {two}"), (4, "none of it is in here at all")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, one), (7, two), (7, one), (8, "too short")], "item_id bigint, text string")
+    got = sorted((r.doc_id, r.item_id, r.item_shingles, r.shared_shingles) for r in decontam.find_contained(docs, items).collect())
+    assert got == [(1, 7, 10, 10), (2, 7, 20, 20), (3, 7, 30, 30)]
+    assert [r.doc_id for r in decontam.decontaminate(docs, items).collect()] == [4]
+
+
 # language ID
 
 
