@@ -4,19 +4,22 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What parts words: the white space of ASCII, no more. bytes.split() splits at just these.
 SPACE = r"[\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows of an Arrow batch: texts may be long, and a batch is held by a Python worker as a whole.
+#: Rows that a Python worker unpacks at once: texts may be long. Spark bounds the bytes of a batch itself.
 BATCH_ROWS = 1000
+#: Places over which rows of one key are spread where they meet what is known of the key.
+PARTS = 64
 
 
 def scratch(spark: SparkSession) -> str:
@@ -30,41 +33,89 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/millrace-{spark.sparkContext.applicationId}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
-    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+def write_and_read(df: DataFrame, path: str) -> DataFrame:
+    """Lineage ends here, and lost executors lose nothing."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
-    """Like staged(), one row for each ``key``, in as many buckets as a shuffle has partitions: joins on the key read it without a shuffle."""
-    spark = df.sparkSession
-    n, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"millrace_{name}_{uuid.uuid4().hex}"
-    df.repartition(n, key).dropDuplicates([key]).write.bucketBy(n, key).sortBy(key).option("path", f"{scratch(spark)}/{table}").saveAsTable(table, format="parquet")
-    return spark.table(table)
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written to the shared folder; it stays there until ``delete`` or the end of the application's folder."""
+    return write_and_read(df, f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder of any store that Spark reaches."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Workspace:
+    """Scratch tables of one call, in a folder of their own. All go at the end; what is to stay is ``staged()`` before."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.tables = spark, f"{scratch(spark)}/{name}-{uuid.uuid4().hex}", []
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        for table in self.tables:
+            self.spark.sql(f"drop table if exists {table}")
+        delete(self.spark, self.folder)
+
+    def staged(self, df: DataFrame, name: str) -> DataFrame:
+        return write_and_read(df, f"{self.folder}/{name}-{uuid.uuid4().hex}")
+
+    def bucketed(self, df: DataFrame, name: str, key: str) -> DataFrame:
+        """Like staged(), one row for each ``key``, in as many buckets as ``df`` has partitions by the key: joins on it read them without a shuffle."""
+        n, table = shuffle_partitions(self.spark), f"millrace_{name}_{uuid.uuid4().hex}"
+        self.tables.append(table)
+        df.dropDuplicates([key]).write.bucketBy(n, key).sortBy(key).option("path", f"{self.folder}/{table}").saveAsTable(table, format="parquet")
+        return self.spark.table(table)
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def attached(df: DataFrame, known: DataFrame, key: str, by: str) -> DataFrame:
+    """Inner join of ``df`` with ``known``, which has one row per ``key``, where a key may hold any share of ``df``.
+
+    The rows of a key are spread by ``by`` over PARTS places; what is known of the key goes to those of them that have rows.
+    """
+    dealt = df.withColumn("part", F.pmod(F.xxhash64(by), F.lit(PARTS)))
+    places = dealt.select(key, "part").distinct()
+    return dealt.join(places.join(known, key), [key, "part"]).drop("part")
+
+
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch, where nobody has set it."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def packed(df: DataFrame, name: str = "doc") -> DataFrame:
+    """All columns in one struct, so that no name of theirs meets one of an operator's."""
+    return df.select(F.struct(*(F.col(quoted(c)) for c in df.columns)).alias(name))
 
 
 def appended(df: DataFrame, columns: str, run) -> DataFrame:
     """Append columns that ``run`` makes of each batch, as a dict of arrays; columns of the same names go."""
-    small_batches(df.sparkSession)
-    names = [part.split()[0] for part in columns.split(",")]
-    kept = df.drop(*names)
-    wanted = kept.columns
+    new = T.StructType.fromDDL(columns)
+    kept = df.drop(*new.names)
+    names, old = new.names, kept.columns
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
+        for batch in sliced(source):
             made = run(batch)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(wanted)], *(made[n] for n in names)], [*wanted, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(made[n] for n in names)], [*old, *names])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return df.select(*(F.col(f"`{c}`") for c in wanted), *(F.col(f"`{c}`").alias(f"_old_{c}") for c in df.columns if c in names)).mapInArrow(batches, f"{fields}, {columns}" if fields else columns)
+    return kept.mapInArrow(batches, T.StructType(kept.schema.fields + new.fields))
 
 
 def texts(column: pa.Array) -> list[bytes | None]:

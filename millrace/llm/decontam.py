@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WordHashes, rolled, shingles, small_batches, texts
+from millrace.llm.common import WordHashes, rolled, shingles, sliced, texts
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -124,14 +124,13 @@ def find_contained(docs: DataFrame, items: DataFrame, words: int = WORDS, thresh
     can't be told from chance and are never found; null and empty texts hold nothing, and items without id or text are left out.
     An item_id of several texts is found if all of them together are, or else any one of them, whose counts the row then has. Repeated documents are found each; a null doc_id is found too. No documents or no items: no pairs.
     """
-    small_batches(docs.sparkSession)
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = docs.sparkSession.createDataFrame([], RESULT)
     for search in searchers(docs, items, words, threshold, most):
 
         def run(batches: Iterator[pa.RecordBatch], search=search) -> Iterator[pa.RecordBatch]:
             hashes = WordHashes()
-            for batch in batches:
+            for batch in sliced(batches):
                 hits = zip(batch.column(0).to_pylist(), search(batch.column(1), hashes), strict=True)
                 rows = [(doc_id, item, size, n, n / size) for doc_id, own in hits for item, size, n in own]
                 yield pa.RecordBatch.from_pylist([dict(zip(SCHEMA.names, r, strict=True)) for r in rows], SCHEMA)
@@ -145,13 +144,12 @@ SCHEMA = pa.schema([(part.split()[0], pa.float64() if "double" in part else pa.i
 
 def decontaminate(docs: DataFrame, items: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, most: int = BLOCK_SHINGLES) -> DataFrame:
     """The rows of ``docs`` whose text holds no test item, with all their columns. Nothing is shuffled or joined."""
-    small_batches(docs.sparkSession)
     place = docs.columns.index("text")
     for search in searchers(docs, items, words, threshold, most):
 
         def run(batches: Iterator[pa.RecordBatch], search=search) -> Iterator[pa.RecordBatch]:
             hashes = WordHashes()
-            for batch in batches:
+            for batch in sliced(batches):
                 yield batch.filter(pa.array([not own for own in search(batch.column(place), hashes)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import appended, small_batches
+from millrace.llm.common import appended, sliced
 
 PROFILE = 300
 SAMPLE = 3000
@@ -95,7 +95,6 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, sample: int = SAMPLE, size: int = PROFILE, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Profiles:
     """Profiles from labelled documents that aren't held out. One row per language comes to the driver, then its profile."""
-    small_batches(docs.sparkSession)
     usable = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
     counts = usable.groupBy(F.col(lang).alias("lang")).count().collect()
     if not counts:
@@ -107,7 +106,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, size: int = PROFILE, doc_id: str
     picked = usable.join(rates, F.col(lang) == F.col("of")).where(draw < F.col("rate")).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             by: dict[str, list[np.ndarray]] = {}
             for language, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 by.setdefault(language, []).append(grams(words))

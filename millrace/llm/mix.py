@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import small_batches, staged, texts
+from millrace.llm.common import sliced, staged, texts
 
 WEIGHTS = (3.0, 1.0, 2.0)
 TOTAL = 1.5
@@ -85,10 +85,9 @@ def apportion(votes: Sequence[float], seats: int, caps: Sequence[int]) -> list[i
 
 def sizes_of(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """(doc_id, source, size): words of each whole text; null and empty texts have none."""
-    small_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             n = [len(t.split()) if t else 0 for t in texts(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["doc_id", "source", "size"])
 

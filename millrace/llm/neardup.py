@@ -2,7 +2,9 @@
 
 A document is the set of its distinct word shingles. Equal sets are one node, by a 128-bit hash of the set, so copies
 are never compared. A node's MinHash has BANDS x ROWS samples; nodes that agree in a band share a bucket. A pair at the
-threshold 0.8 misses all buckets with a chance of (1 - 0.8 ** 5) ** 40, about one in ten million.
+threshold 0.8 misses all buckets with a chance of (1 - 0.8 ** 5) ** 40, about one in ten million. Samples are the least
+hashes of as many ranges of hashes; an empty range takes the sample of the first full one in an order of its own, so each sample
+is shared with the chance of the similarity, at one look at each shingle.
 
 An odd sketch folds the samples into a bitmap: each flips one bit, picked by its value, so that samples which two nodes share
 cancel in their XOR. The XOR's population count says how many samples differ, most precisely where few do. Pairs are
@@ -11,8 +13,9 @@ dropped only if it's over what the threshold allows by more than six standard de
 A bucket of m nodes isn't m * m pairs. Links are found in rounds: in each, a bucket's members are held against one
 pivot - first its smallest node, then its best linked one - each node against its most similar pivot only, and linked nodes
 become components. What is left are buckets with members in different components. Nodes outside of a bucket's largest
-component are then held against that component and against each other, in blocks of bounded size which hold each set once
-and return links alone, whatever the number of pairs. Pairs within a component need no test, as they can't change it.
+component are then held against that component and against each other, in blocks of bounded size. A block sees wide sketches,
+which tell a similarity of 0.6 from one of 0.8, and returns the nodes that are near another; the texts of these alone go
+to the block, which returns links, whatever the number of pairs. Pairs within a component need no test, as they can't change it.
 Components come from alternating large-star and small-star steps.
 """
 
@@ -26,25 +29,34 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrace.llm.common import WordHashes, bucketed, shingles, small_batches, staged, texts
+from millrace.llm.common import WordHashes, Workspace, attached, packed, quoted, shingles, shuffle_partitions, sliced, staged, texts
 
 BANDS, ROWS = 40, 5
 SAMPLES = BANDS * ROWS
 SKETCH_LONGS = 8
 SKETCH_BITS = 64 * SKETCH_LONGS
-#: Of 512; a pair at 0.8 differs in 40 of 200 samples, which flip 74 bits on average, with a deviation of about 9.
+#: Of 512; a pair at 0.8 differs in 40 of 200 samples, which flip 69 bits on average, with a deviation of about 9.5.
 MOST_ODD = 128
 PIVOT_ROUNDS = 2
 #: Nodes of a block's two sides, when what the pivots left over is tested.
 BLOCK_ONE, BLOCK_TWO = 128, 512
 #: Pairs that share a pivot's text in one task; a pivot with more of them is salted.
 PIVOT_PAIRS = 512
+#: Samples of a wide sketch and its bits, as powers of two.
+WIDE_SAMPLES, WIDE_BITS = 12, 12
+#: Keys that a task remembers, so that it passes on a text of many copies once.
+REMEMBERED = 200_000
 _RANDOM = np.random.default_rng(20240229)
-_TIMES = _RANDOM.integers(1, 1 << 31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_PLUS = _RANDOM.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
 _SALT = _RANDOM.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
-SIGNATURE = "doc_id bigint, key binary, n bigint, odd array<bigint>, bands array<bigint>"
+#: For each sample the others in the order in which it asks them.
+_PROBES = np.argsort(_RANDOM.random((SAMPLES, SAMPLES)), axis=1)
+_BOUNDS = np.array([(i << 64) // SAMPLES for i in range(SAMPLES)], np.uint64)
+_TIMES = np.uint64(0x9E3779B97F4A7C15)
+SIGNATURE = "key binary, fresh boolean, n bigint, odd array<bigint>, bands array<bigint>"
+BLOCK = "group binary, i bigint, j bigint, one boolean, out boolean, key binary, root binary, n bigint, wide binary"
+LINKS = "a binary, b binary"
 
 
 def set_key(found: np.ndarray) -> bytes:
@@ -52,50 +64,92 @@ def set_key(found: np.ndarray) -> bytes:
 
 
 def minhash(found: np.ndarray) -> np.ndarray:
-    """SAMPLES minima; memory is bounded by taking the set in parts."""
-    small = (found >> np.uint64(32)).astype(np.uint32) ^ found.astype(np.uint32)
-    out = np.full(SAMPLES, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(small), 1024):
-        part = small[at : at + 1024, None] * _TIMES + _PLUS
-        np.minimum(out, part.min(axis=0), out=out)
+    """SAMPLES samples of a sorted set of hashes that isn't empty."""
+    starts = np.searchsorted(found, _BOUNDS)
+    full = np.append(starts[1:], len(found)) > starts
+    out = found[np.minimum(starts, len(found) - 1)]
+    empty = np.flatnonzero(~full)
+    if len(empty):
+        probes = _PROBES[empty]
+        out[empty] = out[probes[np.arange(len(empty)), full[probes].argmax(axis=1)]]
     return out
 
 
 def odd_sketch(samples: np.ndarray) -> np.ndarray:
     """Parities: sample i flips the bit that its value and i pick."""
-    x = (samples.astype(np.uint64) + _SALT) * np.uint64(0x9E3779B97F4A7C15)
+    x = (samples + _SALT) * _TIMES
+    x = (x ^ (x >> np.uint64(32))) * _TIMES
     bits = np.bincount((x >> np.uint64(64 - 9)).astype(np.int64), minlength=SKETCH_BITS) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def wide_sketch(found: np.ndarray) -> bytes:
+    """Parities of the least hashes of 4096 ranges in 4096 bits; empty ranges flip none, so that small sets are told apart exactly."""
+    ranges = found >> np.uint64(64 - WIDE_SAMPLES)
+    least = found[np.flatnonzero(np.diff(ranges, prepend=ranges[:1] + np.uint64(1)))]
+    x = (least ^ (least >> np.uint64(32))) * _TIMES
+    bits = np.bincount(((x ^ (x >> np.uint64(32))) * _TIMES >> np.uint64(64 - WIDE_BITS)).astype(np.int64), minlength=1 << WIDE_BITS) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
+def most_wide(n: np.ndarray, m: int, percent: int) -> np.ndarray:
+    """Bits in which the wide sketches of sets of n and m shingles differ at most, if they reach the threshold.
+
+    Each shingle that isn't shared changes one range and so flips two bits at most: that bounds small sets for certain. For larger ones
+    it's the mean of the flipped bits at the threshold, where a set's least hash of a range isn't the other's, and six standard deviations of it.
+    """
+    both, q, samples, width = (n + m).astype(float), percent / 100, 1 << WIDE_SAMPLES, 1 << WIDE_BITS
+    union = both / (1 + q)
+    held = lambda size: samples * -np.expm1(-size / samples)  # noqa: E731  ranges that aren't empty
+    flips = held(n) + held(m) - 2 * q * held(union)
+    mean, kept = width / 2 * -np.expm1(-2 * flips / width), np.exp(-2 * flips / width)
+    drawn = 4 * q * (1 - q) * held(union) * (1 - held(union) / union) + flips * union / (union + samples)
+    deviation = np.sqrt(drawn * kept**2 + width / 4 * (1 - kept**2))
+    return np.minimum(np.floor(2 * both * (1 - q) / (1 + q) + 1e-9), mean + 6 * deviation)
+
+
 def band_hashes(samples: np.ndarray) -> np.ndarray:
-    rows = samples.astype(np.uint64).reshape(BANDS, ROWS)
+    rows = samples.reshape(BANDS, ROWS)
     out = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     for k in range(ROWS):
-        out = (out ^ rows[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+        out = (out ^ rows[:, k]) * _TIMES
         out ^= out >> np.uint64(31)
     return out.view(np.int64)
 
 
+def shingle_set(text: bytes, hashes: WordHashes, words: int) -> np.ndarray:
+    return shingles(hashes.of(text.lower().split()), words)
+
+
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """Per row its id, set hash, set size, odd sketch and band hashes; empty sets have no hash."""
-    small_batches(docs.sparkSession)
+    """(doc, key, fresh, n, odd, bands) per row: all of its columns, set hash, set size, odd sketch and band hashes.
+
+    Empty sets have no hash. ``fresh``: the first row of its set in a task, or nearly so; sets are told by these rows, however many copies there are.
+    """
+    whole = packed(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            keys, sizes, odd, bands = [], [], [], []
-            for text in texts(batch.column(1)):
-                found = shingles(hashes.of(text.lower().split()), words) if text else ()
+        hashes, seen = WordHashes(), set()
+        for batch in sliced(batches):
+            keys, fresh, sizes, odd, bands = [], [], [], [], []
+            for text in texts(batch.column(0).field("text")):
+                found = shingle_set(text, hashes, words) if text else ()
                 sizes.append(len(found))
-                keys.append(set_key(found) if len(found) else None)
-                samples = minhash(found) if len(found) else None
-                odd.append(odd_sketch(samples) if len(found) else None)
-                bands.append(band_hashes(samples) if len(found) else None)
-            arrays = [batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(odd, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "n", "odd", "bands"])
-
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SIGNATURE)
+                key = set_key(found) if len(found) else None
+                keys.append(key)
+                new = key is not None and key not in seen
+                fresh.append(new)
+                samples = minhash(found) if new else None
+                odd.append(odd_sketch(samples) if new else None)
+                bands.append(band_hashes(samples) if new else None)
+                if new:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(key)
+            arrays = [batch.column(0), pa.array(keys, pa.binary()), pa.array(fresh), pa.array(sizes, pa.int64()), pa.array(odd, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc", "key", "fresh", "n", "odd", "bands"])
+
+    return whole.mapInArrow(run, T.StructType(whole.schema.fields + T.StructType.fromDDL(SIGNATURE).fields))
 
 
 def odd_bits(a: str, b: str) -> Column:
@@ -123,33 +177,33 @@ def confirmed(pairs: DataFrame, sets: DataFrame, words: int, percent: int) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, last, last_set = WordHashes(), None, None
-        for batch in batches:
+        for batch in sliced(batches):
             keep = []
             for one, two in zip(texts(batch.column(2)), texts(batch.column(3)), strict=True):
-                own = shingles(hashes.of(one.lower().split()), words)
+                own = shingle_set(one, hashes, words)
                 if two != last:  # rows come sorted by b, from its join
-                    last, last_set = two, shingles(hashes.of(two.lower().split()), words)
+                    last, last_set = two, shingle_set(two, hashes, words)
                 both = len(np.intersect1d(own, last_set, assume_unique=True))
                 keep.append(100 * both >= percent * (len(own) + len(last_set) - both))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.mapInArrow(run, "a binary, b binary")
+    return joined.mapInArrow(run, LINKS)
 
 
-def components(links: DataFrame, stars: DataFrame | None = None) -> DataFrame:
+def components(work: Workspace, links: DataFrame, stars: DataFrame | None = None) -> DataFrame:
     """Edges (u, v) from each node of an undirected graph to the smallest node that it reaches, unless that is itself, by star contraction.
 
     ``stars`` are such edges of the graph without ``links``: what they have contracted isn't contracted again.
     """
     added = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
-    edges = staged((added if stars is None else added.unionByName(stars)).distinct(), "components")
+    edges = work.staged((added if stars is None else added.unionByName(stars)).distinct(), "components")
     while not contracted(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = attached(both.where("v > u"), least, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         roots = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(roots, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = staged(small.unionByName(roots.select("u", F.col("m").alias("v"))).distinct(), "components")
+        small = attached(large, roots, "u", "v").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = work.staged(small.unionByName(roots.select("u", F.col("m").alias("v"))).distinct(), "components")
     return edges
 
 
@@ -165,74 +219,146 @@ def rooted_nodes(stars: DataFrame) -> DataFrame:
     return stars.select(F.col("u").alias("key"), F.col("v").alias("root")).unionByName(roots)
 
 
+def linked(work: Workspace, docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc, row, key, n), staged, with a fixed number each; and of each set (key, best): its component's first row.
+
+    ``best`` is (unnamed, doc_id, row) of the row with the smallest doc_id, null ones last, then the smallest row.
+    """
+    signed = work.staged(signatures(docs, words).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    stars = all_stars(work, signed, words, percent)
+    place = F.struct(F.col("doc.doc_id").isNull().alias("unnamed"), F.col("doc.doc_id").alias("doc_id"), "row")
+    firsts = signed.where("key is not null").groupBy("key").agg(F.min(place).alias("best"))
+    if stars is not None:
+        rooted = firsts.join(rooted_nodes(stars), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        whole = rooted.groupBy("root").agg(F.min("best").alias("least"))
+        firsts = attached(rooted, whole, "root", "key").select("key", F.col("least").alias("best"))
+    return signed, work.staged(firsts, "firsts")  # staged, so that adaptive execution may split a set of many copies where it's joined
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id reachable over links) and kept.
 
     Documents are linked if 100 * shared shingles >= percent * all shingles of both; ``percent`` of 80 or more. Null and empty
     texts have no shingles, are linked with nothing and are their own component. A text of fewer than ``words`` words is one
-    shingle. Rows that repeat are copies; rows of one doc_id stay or go by their own text, and all rows with the smallest
-    doc_id are kept. A null doc_id takes part only as a copy: it never names a component if another does, and is kept if none does.
+    shingle; texts of any length are one row in a task. Rows that repeat are copies, ties of no consequence. A null doc_id is linked as any other, but never names a
+    component that has another; ``kept`` is doc_id = component_id, so of null ones only those without a named document. An empty table
+    gives no rows; other columns than doc_id and text aren't looked at, whatever their names.
     """
-    signed = staged(signatures(docs, words), "signatures")
-    nodes = signed.where("key is not null").groupBy("key").agg(F.first("bands").alias("bands"))
-    banded = nodes.select("key", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket")
-    members = staged(banded.join(shared, "bucket").select("bucket", "key"), "members")
-    near = members.select("key").distinct()
-    known = staged(signed.where("key is not null").join(near, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("odd").alias("odd")), "nodes")
-    stars = all_stars(docs, members, known, words, percent)
-    ids = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("id"))
-    if stars is None:
-        named = ids.withColumnRenamed("id", "component_id")
-    else:
-        rooted = ids.join(rooted_nodes(stars), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        smallest = rooted.where("root <> key").groupBy("root").agg(F.min("id").alias("others"))
-        of_root = ids.select(F.col("key").alias("root"), F.col("id").alias("own")).join(smallest, "root").select("root", F.least("own", "others").alias("component"))
-        named = rooted.join(of_root, "root", "left").select("key", F.coalesce("component", "id").alias("component_id"))
-    out = signed.select("doc_id", "key", F.col("n").alias("n_shingles")).join(named, "key", "left")
-    out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
-
-
-def all_stars(docs: DataFrame, members: DataFrame, known: DataFrame, words: int, percent: int) -> DataFrame | None:
+    with Workspace(docs.sparkSession, "near") as work:
+        signed, firsts = linked(work, docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), words, percent)
+        out = signed.select(F.col("doc.doc_id").alias("doc_id"), "key", F.col("n").alias("n_shingles")).join(firsts, "key", "left")
+        out = out.withColumn("component_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")))
+        return staged(out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")), "near-duplicates")
+
+
+def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The documents with all their columns, of each component one row: that of the smallest doc_id, null ones last, and of rows of that id one.
+
+    Links are as in near_duplicates(); rows without words are linked with nothing, so all of them stay. ``text`` is a string; other columns may have any names.
+    """
+    with Workspace(docs.sparkSession, "dedup") as work:
+        signed, firsts = linked(work, docs, words, percent)
+        first = firsts.select("best.row").distinct().hint("merge")
+        alone = signed.where("key is null").select("doc")
+        kept = signed.where("key is not null").select("doc", "row").join(first, "row", "left_semi").select("doc").unionByName(alone)
+        return staged(kept, "deduplicated").select(*(F.col(f"doc.{quoted(c)}").alias(c) for c in docs.columns))
+
+
+def all_stars(work: Workspace, signed: DataFrame, words: int, percent: int) -> DataFrame | None:
     """components() of links that connect all that is connected; None if no bucket is shared."""
+    fresh = signed.where("fresh")
+    banded = fresh.select("key", F.explode("bands").alias("bucket"))
+    tag = F.xxhash64("key")
+    shared = banded.groupBy("bucket").agg(F.min(tag).alias("low"), F.max(tag).alias("high")).where("low <> high").select("bucket")
+    # written, so that adaptive execution may split a bucket that many nodes share
+    members = work.staged(banded.join(work.staged(shared, "shared"), "bucket").select("bucket", "key"), "members")
     if members.isEmpty():
         return None
-    one = known.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("odd").alias("odd_a"))
-    two = known.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("odd").alias("odd_b"))
-    sets = node_texts(docs, known.select("key", "id"), words)
+    near = members.select("key").distinct()
+    sets = work.bucketed(fresh.select("key", "n", "odd", F.col("doc.text").alias("text")).repartition(shuffle_partitions(work.spark), "key").join(near, "key", "left_semi"), "sets", "key")
+    one = sets.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("odd").alias("odd_a"))
+    two = sets.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("odd").alias("odd_b"))
     pivots = members.groupBy("bucket").agg(F.min("key").alias("b"))
-    against = members.join(pivots, "bucket").where("key <> b").select(F.col("key").alias("a"), "b").distinct()
+    against = attached(members, pivots, "bucket", "key").where("key <> b").select(F.col("key").alias("a"), "b").distinct()
     links = stars = None
     for _ in range(PIVOT_ROUNDS):
-        sifted = against.join(one, "a").join(two, "b").where(alike("a", "b", percent))
+        sifted = attached(against.join(one, "a"), two, "b", "a").where(alike("a", "b", percent))
         best = sifted.groupBy("a").agg(F.min_by("b", F.struct(odd_bits("odd_a", "odd_b"), "b")).alias("b"))
-        made = staged(confirmed(staged(best, "tests"), sets, words, percent), "links")
+        made = work.staged(confirmed(work.staged(best, "tests"), sets, words, percent), "links")
         links = made if links is None else links.unionByName(made)
-        stars = components(made, stars)
+        stars = components(work, made, stars)
         placed = members.join(rooted_nodes(stars), "key", "left").withColumn("root", F.coalesce("root", "key"))
         split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-        placed = staged(placed.join(split, "bucket"), "placed")
+        placed = work.staged(attached(placed, split, "bucket", "key"), "placed")
+        members = placed.select("bucket", "key")
         degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("links"))
         ranked = placed.join(degree, "key", "left").select("bucket", F.struct(F.coalesce("links", F.lit(0)).alias("links"), "key", "root").alias("hub"))
         hubs = ranked.groupBy("bucket").agg(F.max("hub").alias("hub"))
-        against = placed.join(hubs, "bucket").where("hub.root <> root").select(F.col("key").alias("a"), F.col("hub.key").alias("b")).distinct()
-    return components(rest(placed, known, sets, words, percent), stars)
+        against = attached(placed, hubs, "bucket", "key").where("hub.root <> root").select(F.col("key").alias("a"), F.col("hub.key").alias("b")).distinct()
+    return components(work, rest(work, placed, sets, words, percent), stars)
 
 
-def rest(placed: DataFrame, known: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
+def rest(work: Workspace, placed: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
     """Links between the nodes outside of their bucket's largest component, and between them and that component."""
-    largest = placed.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max(F.struct("count", "root")).alias("most"))
-    grouped = staged(placed.join(largest, "bucket").select(F.col("most.root").alias("group"), "key", "root", (F.col("root") != F.col("most.root")).alias("out")).distinct(), "rest")
+    largest = placed.distinct().groupBy("bucket", "root").count().groupBy("bucket").agg(F.max(F.struct("count", "root")).alias("most"))
+    grouped = attached(placed, largest, "bucket", "key").select(F.col("most.root").alias("group"), "key", "root", (F.col("root") != F.col("most.root")).alias("out")).distinct()
+    grouped = work.staged(grouped, "grouped")
     sizes = grouped.groupBy("group").agg(F.ceil(F.sum(F.col("out").cast("int")) / BLOCK_ONE).alias("ones"), F.ceil(F.count(F.lit(1)) / BLOCK_TWO).alias("twos"))
-    full = grouped.join(sizes, "group").join(known.select("key", "n", "odd"), "key").join(sets, "key")
+    wide = work.staged(widely_sketched(grouped.select("key").distinct().join(sets, "key"), words), "wide")
+    full = attached(grouped, sizes, "group", "key").join(wide, "key")
     sides = F.filter(F.array(F.col("out"), F.lit(False)), lambda s: F.col("out") | ~s)  # outer nodes are on both sides
     dealt = full.withColumn("one", F.explode(F.array_distinct(sides)))
     own = F.pmod(F.xxhash64("key"), F.when(F.col("one"), F.col("ones")).otherwise(F.col("twos")))
     every = F.sequence(F.lit(0).cast("bigint"), F.when(F.col("one"), F.col("twos")).otherwise(F.col("ones")) - 1)
     dealt = dealt.withColumn("own", own).withColumn("other", F.explode(every))
-    dealt = dealt.select("group", F.when(F.col("one"), F.col("own")).otherwise(F.col("other")).alias("i"), F.when(F.col("one"), F.col("other")).otherwise(F.col("own")).alias("j"), "one", "out", "key", "root", "n", "odd", "text")
-    return dealt.groupBy("group", "i", "j").applyInArrow(lambda table: block_links(table, words, percent), "a binary, b binary")
+    dealt = dealt.select("group", F.when(F.col("one"), F.col("own")).otherwise(F.col("other")).alias("i"), F.when(F.col("one"), F.col("other")).otherwise(F.col("own")).alias("j"), "one", "out", "key", "root", "n", "wide")
+    near = work.staged(dealt.groupBy("group", "i", "j").applyInArrow(lambda table: near_ones(table, percent), BLOCK), "near")
+    told = near.join(sets.select("key", "text"), "key")
+    return told.groupBy("group", "i", "j").applyInArrow(lambda table: block_links(table, words, percent), LINKS)
+
+
+def widely_sketched(sets: DataFrame, words: int) -> DataFrame:
+    """(key, n, wide) of rows of key, n and text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in sliced(batches):
+            made = [wide_sketch(shingle_set(text, hashes, words)) for text in texts(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], ["key", "n", "wide"])
+
+    return sets.select("key", "n", "text").mapInArrow(run, "key binary, n bigint, wide binary")
+
+
+class Block:
+    """Nodes of a block's two sides, as arrays. Outer nodes are on both."""
+
+    def __init__(self, table: pa.Table):
+        flags = lambda name: np.array(table.column(name).to_pylist(), bool)
+        self.out, self.left = flags("out"), np.flatnonzero(flags("one"))
+        self.right = np.flatnonzero(~flags("one"))
+        self.keys, roots = table.column("key").to_pylist(), table.column("root").to_pylist()
+        number = {r: k for k, r in enumerate(dict.fromkeys(roots))}
+        self.root = np.array([number[r] for r in roots], np.int64)
+        self.n = table.column("n").to_numpy()
+        self.wide = np.frombuffer(b"".join(table.column("wide").to_pylist()), np.uint64).reshape(len(self.n), -1)
+
+    def near(self, i: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Nodes of the right side, in other components, that node i may be linked with by size and sketch; and in how many bits they differ."""
+        there = self.right[self.root[self.right] != self.root[i]]
+        there = there[np.minimum(self.n[there], self.n[i]) * 100 >= np.maximum(self.n[there], self.n[i]) * percent]
+        far = np.bitwise_count(self.wide[there] ^ self.wide[i]).sum(axis=1)
+        good = far <= most_wide(self.n[there], int(self.n[i]), percent)
+        return there[good], far[good]
+
+
+def near_ones(table: pa.Table, percent: int) -> pa.Table:
+    """The rows of a block's nodes that may be linked with one of the other side."""
+    block, wanted = Block(table), np.zeros(table.num_rows, bool)
+    for i in block.left.tolist():
+        near, _ = block.near(i, percent)
+        wanted[near] = True
+        wanted[i] = len(near) > 0
+    return table.filter(pa.array(wanted))
 
 
 def bitsets(sets: list[np.ndarray], vocabulary: np.ndarray) -> list[int]:
@@ -247,54 +373,20 @@ def bitsets(sets: list[np.ndarray], vocabulary: np.ndarray) -> list[int]:
 
 def block_links(table: pa.Table, words: int, percent: int) -> pa.Table:
     """Links from the block's one side to its other, one for each pair of components, best sketches first."""
-    one = np.array(table.column("one").to_pylist(), bool)
-    out = np.array(table.column("out").to_pylist(), bool)
-    keys, roots = table.column("key").to_pylist(), table.column("root").to_pylist()
-    n = table.column("n").to_numpy()
-    odd = np.array(table.column("odd").to_pylist(), np.int64).view(np.uint64).reshape(-1, SKETCH_LONGS)  # bitwise_count takes magnitudes of signed numbers
-    left, right = np.flatnonzero(one), np.flatnonzero(~one)
-    made: list[tuple[bytes, bytes]] = []
-    if len(left) and len(right):
+    block, made = Block(table), []
+    if len(block.left) and len(block.right):
         hashes = WordHashes()
-        sets = [shingles(hashes.of(t.lower().split()), words) for t in (x for c in table.column("text").chunks for x in texts(c))]
-        vocabulary = np.intersect1d(np.unique(np.concatenate([sets[i] for i in left])), np.unique(np.concatenate([sets[i] for i in right])))
+        sets = [shingle_set(t, hashes, words) for chunk in table.column("text").chunks for t in texts(chunk)]
+        vocabulary = np.intersect1d(np.unique(np.concatenate([sets[i] for i in block.left])), np.unique(np.concatenate([sets[i] for i in block.right])))
         bits = bitsets(sets, vocabulary)
-        number = {r: k for k, r in enumerate(dict.fromkeys(roots))}
-        root = np.array([number[r] for r in roots])
         joined: set[tuple[int, int]] = set()
-        for i in left.tolist():
-            far = np.bitwise_count(odd[right] ^ odd[i]).sum(axis=1)
-            sized = np.minimum(n[right], n[i]) * 100 >= np.maximum(n[right], n[i]) * percent
-            near = np.flatnonzero((root[right] != root[i]) & sized & (far <= MOST_ODD))
-            for j in right[near[np.argsort(far[near], kind="stable")]].tolist():
-                if out[j] and keys[j] < keys[i] or (root[i], root[j]) in joined:
+        for i in block.left.tolist():
+            near, far = block.near(i, percent)
+            for j in near[np.argsort(far, kind="stable")].tolist():
+                if block.out[j] and block.keys[j] < block.keys[i] or (block.root[i], block.root[j]) in joined:
                     continue  # tested from the other side, or known
                 both = (bits[i] & bits[j]).bit_count()
-                if 100 * both >= percent * (n[i] + n[j] - both):
-                    joined.add((root[i], root[j]))
-                    made.append((keys[i], keys[j]))
+                if 100 * both >= percent * (block.n[i] + block.n[j] - both):
+                    joined.add((block.root[i], block.root[j]))
+                    made.append((block.keys[i], block.keys[j]))
     return pa.table({"a": pa.array([a for a, _ in made], pa.binary()), "b": pa.array([b for _, b in made], pa.binary())})
-
-
-def node_texts(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(key, text) of the nodes in ``ids``, one row each, read from the documents again and bucketed by key.
-
-    Rows that share a doc_id with a node come along, as nodes that no pair names. The ids grow with the corpus, so they're merged at any size, never broadcast.
-    """
-    named = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).join(ids.select("id").where("id is not null").distinct().hint("merge"), "id", "left_semi")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            keys = [set_key(found) if text and len(found := shingles(hashes.of(text.lower().split()), words)) else None for text in texts(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch.column(0)], ["key", "text"])
-
-    keyed = named.select("text").mapInArrow(run, "key binary, text string").where("key is not null")
-    return bucketed(keyed, "texts", "key")
-
-
-def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that near_duplicates keeps, with all their columns; a doc_id of which any row is kept stays."""
-    judged = near_duplicates(docs, words, percent)
-    gone = judged.groupBy(F.col("doc_id").alias("_gone")).agg(F.max("kept").alias("_kept")).where("not _kept").hint("merge")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WordHashes, rolled, small_batches, staged, texts
+from millrace.llm.common import WordHashes, rolled, sliced, staged, texts
 
 RISK, LEVEL = 0.02, 0.05
 WINDOW = 8
@@ -62,11 +62,10 @@ def repeated_words(words: np.ndarray, window: int = WINDOW) -> int:
 
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id, lang and COUNTS per row; null texts count 0."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in sliced(batches):
             rows = np.array([counts(t, hashes) if t else (0,) * len(COUNTS) for t in texts(batch.column(2))], np.int64).reshape(-1, len(COUNTS))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(rows[:, i]) for i in range(len(COUNTS)))], ["doc_id", "lang", *COUNTS])
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import scratch, small_batches, staged
+from millrace.llm.common import scratch, sliced, staged
 
 FRAME_BYTES, BUNDLE_BYTES, LEVEL = 256 << 10, 8 << 20, 3
 MOST_PARTS = 20_000
@@ -161,7 +161,6 @@ def planned(pages: DataFrame, least: int = 0) -> DataFrame:
 
 def written(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     """Write all pages as bundles to ``folder`` and return the index, a table that is written too."""
-    small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -176,7 +175,7 @@ def written(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
             bundle, rows, count = Bundle(), [], count + 1
             return made
 
-        for batch in batches:
+        for batch in sliced(batches):
             for row in batch.to_pylist():
                 data = record(row["page_id"], row["url"], row["html"].encode(), row["refers_to"], row["revisit"])
                 number, offset = bundle.add(data)
@@ -217,7 +216,7 @@ def read(index: DataFrame, folder: str) -> DataFrame:
     parts = max(1, min(names.count(), MOST_PARTS))  # by number: names are short, and one task for all of them would be no reader
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             for name in batch.column(0).to_pylist():
                 yield pa.RecordBatch.from_pylist(list(records(get(folder, name))), READ_SCHEMA)
 

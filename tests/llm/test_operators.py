@@ -375,31 +375,71 @@ def test_components_equal_brute_force(spark, n, rows):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
-def test_block_links_find_every_component_pair():
+def block_rows(rows, sets, both):
     import pyarrow as pa
 
+    keys, flat = [neardup.set_key(s) for s in sets], [(i, side == "one") for side, own in both.items() for i in own]
+    return keys, pa.table({
+        "one": [one for _, one in flat], "out": [i % 3 == 0 for i, _ in flat], "key": pa.array([keys[i] for i, _ in flat], pa.binary()),
+        "root": pa.array([keys[i] for i, _ in flat], pa.binary()), "n": [len(sets[i]) for i, _ in flat], "wide": pa.array([neardup.wide_sketch(sets[i]) for i, _ in flat], pa.binary()), "text": [rows[i][1] for i, _ in flat],
+    })
+
+
+def test_block_links_find_every_component_pair():
     rows = near_copies(6, 2, 40, 10)
     hashes = WordHashes()
     sets = [shingles(hashes.of(t.encode().split()), 2) for _, t in rows]
-    keys = [neardup.set_key(s) for s in sets]
-    odd = [neardup.odd_sketch(neardup.minhash(s)).tolist() for s in sets]
-    both = {side: [i for i in range(len(rows)) if side == "two" or i % 3 == 0] for side in ("one", "two")}
-    flat = [(i, side == "one") for side, own in both.items() for i in own]
-    table = pa.table({
-        "one": [one for _, one in flat], "out": [i % 3 == 0 for i, _ in flat], "key": pa.array([keys[i] for i, _ in flat], pa.binary()),
-        "root": pa.array([keys[i] for i, _ in flat], pa.binary()), "n": [len(sets[i]) for i, _ in flat], "odd": [odd[i] for i, _ in flat], "text": [rows[i][1] for i, _ in flat],
-    })
-    got = {frozenset(p) for p in zip(*(c.to_pylist() for c in neardup.block_links(table, 2, 80).columns), strict=True)}
+    keys, table = block_rows(rows, sets, {side: [i for i in range(len(rows)) if side == "two" or i % 3 == 0] for side in ("one", "two")})
     exact = [grams(t, 2) for _, t in rows]
-    expected = {frozenset((keys[i], keys[j])) for i in both["one"] for j in range(len(rows)) if keys[i] != keys[j] and 100 * len(exact[i] & exact[j]) >= 80 * len(exact[i] | exact[j])}
+    expected = {frozenset((keys[i], keys[j])) for i in range(0, len(rows), 3) for j in range(len(rows)) if keys[i] != keys[j] and 100 * len(exact[i] & exact[j]) >= 80 * len(exact[i] | exact[j])}
+    near = neardup.near_ones(table, 80)
+    assert {k for p in expected for k in p} <= set(near.column("key").to_pylist())
+    got = {frozenset(p) for p in zip(*(c.to_pylist() for c in neardup.block_links(near, 2, 80).columns), strict=True)}
     assert got == expected and expected
 
 
+def test_a_family_below_the_threshold_asks_for_next_to_no_texts():
+    rng = np.random.default_rng(3)
+    shared = rng.integers(0, 1 << 63, 600).astype(np.uint64) * np.uint64(2)
+    sets = [np.unique(np.concatenate([shared, rng.integers(0, 1 << 63, 200).astype(np.uint64) * np.uint64(2)])) for _ in range(300)]  # alike at 0.6
+    _, table = block_rows([(i, "") for i in range(300)], sets, {"one": range(0, 300, 3), "two": range(300)})
+    assert neardup.near_ones(table, 80).num_rows <= 3
+
+
+@pytest.mark.parametrize("size", [3, 9, 40, 300, 3000, 40_000])
+def test_sketches_never_drop_pairs_at_the_threshold(size):
+    rng = np.random.default_rng(size)
+    missed = 0
+    for _ in range(40 if size < 10_000 else 4):
+        union = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64) * np.uint64(2) + rng.integers(0, 2, size).astype(np.uint64))
+        order, apart = rng.permutation(len(union)), len(union) // 5
+        a, b = np.sort(union[order[apart // 2 :]]), np.sort(union[np.concatenate([order[: apart // 2], order[apart:]])])
+        one, two = (np.frombuffer(neardup.wide_sketch(x), np.uint64) for x in (a, b))
+        assert np.bitwise_count(one ^ two).sum() <= neardup.most_wide(np.array([len(a)]), len(b), 80)[0]
+        one, two = (neardup.minhash(x) for x in (a, b))
+        assert np.bitwise_count((neardup.odd_sketch(one) ^ neardup.odd_sketch(two)).view(np.uint64)).sum() <= neardup.MOST_ODD
+        missed += not np.intersect1d(neardup.band_hashes(one), neardup.band_hashes(two)).size
+    assert not missed
+
+
+def test_samples_agree_as_often_as_sets_do():
+    rng = np.random.default_rng(8)
+    for size in (6, 60, 900):
+        agreed = []
+        for _ in range(150):
+            union = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64) * np.uint64(2))
+            a, b = union[: -len(union) // 6], union[len(union) // 6 :]
+            a, b = (np.sort(rng.permutation(union)[: len(union) * 5 // 6]) for _ in range(2))
+            share = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+            agreed.append((neardup.minhash(a) == neardup.minhash(b)).mean() - share)
+        assert abs(np.mean(agreed)) < 0.03
+
+
 def test_odd_sketch_estimates_differences():
     rng = np.random.default_rng(1)
-    base = rng.integers(0, 1 << 62, 800).astype(np.uint64)
+    base = rng.integers(0, 1 << 63, 800).astype(np.uint64) * np.uint64(2)
     for share in (0.95, 0.8):
-        other = np.concatenate([base[: int(800 * 2 * share / (1 + share))], rng.integers(0, 1 << 62, 800 - int(800 * 2 * share / (1 + share))).astype(np.uint64)])
+        other = np.concatenate([base[: int(800 * 2 * share / (1 + share))], rng.integers(0, 1 << 63, 800 - int(800 * 2 * share / (1 + share))).astype(np.uint64) * np.uint64(2)])
         a, b = (neardup.odd_sketch(neardup.minhash(np.unique(s))) for s in (base, other))
         flips = int(np.bitwise_count((a ^ b).view(np.uint64)).sum())
         estimate = 1 + neardup.SKETCH_BITS / (4 * neardup.SAMPLES) * np.log(1 - 2 * flips / neardup.SKETCH_BITS)
@@ -412,9 +452,26 @@ def test_near_duplicates_odd_documents(spark):
     assert len(rows) == 10
     by = {r.doc_id: r for r in rows}
     assert all(by[d].n_shingles == 0 and by[d].kept and by[d].component_id == d for d in (2, 3, 4))
-    assert by[1].kept and by[None].kept and by[None].n_shingles == 10
-    assert {r.doc_id for r in neardup.deduplicate(docs).collect()} == {r.doc_id for r in docs.collect()}
-    assert neardup.near_duplicates(docs.where("false")).collect() == []
+    assert by[1].kept and by[None].component_id == 1 and not by[None].kept and by[None].n_shingles == 10
+    kept = neardup.deduplicate(docs, words=2)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, 5, 6, 7, 8]
+    assert neardup.near_duplicates(docs.where("false")).collect() == [] and neardup.deduplicate(docs.where("false")).collect() == []
+
+
+def test_documents_without_an_id_are_linked(spark):
+    long = [f"w{i}" for i in range(100)]
+    near = [(1, " ".join(long)), (None, " ".join([*long, "x"])), (None, " ".join(["y", *long])), (None, "all alone here"), (None, "all alone here"), (2, "all on its own")]
+    docs = spark.createDataFrame(near, "doc_id bigint, text string")
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(docs, words=2).collect())
+    assert got == Counter({(1, 1, True): 1, (None, 1, False): 2, (None, None, True): 2, (2, 2, True): 1})
+    assert sorted(r.text for r in neardup.deduplicate(docs, words=2).collect()) == sorted([near[0][1], "all alone here", "all on its own"])
+    assert neardup.near_duplicates(docs.where("doc_id is null").limit(2), words=2).select("component_id").distinct().count() == 1
+
+
+def test_scratch_tables_go(spark):
+    before = len(spark.catalog.listTables())
+    neardup.deduplicate(spark.createDataFrame(near_copies(1, 3, 5, 4), "doc_id bigint, text string"), words=2).collect()
+    assert len(spark.catalog.listTables()) == before
 
 
 # chat formatting
