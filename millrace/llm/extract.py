@@ -1,9 +1,10 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read once into blocks of text with the path of tags above each. Blocks of one path are taken together: the path's
-ratios are text and punctuation per block. The fused ratio of its path is a block's score; scores are smoothed along the page by a
-Gaussian, and blocks over a threshold are content. The element that holds the content is the article: article elements, or else
-main elements, in which content was found, each taken whole; failing these, the deepest element that holds most of the content.
+A page is read once, in time linear in its length and nesting, into blocks of text with the path of tags above each. Blocks of one path are taken together: the path's
+ratios are text and punctuation per block. The path's score is both ratios fused, times a prior for paths under an article or main element; scores are smoothed along the page by a
+Gaussian, and blocks over a threshold are content. Content chooses the element: the deepest container that holds most of it, not
+going on below an article. That element's blocks are the text, but for parts of it that are links without content; where only the whole page
+holds most of the content, the parts of it that are content for the most part, and content elsewhere.
 Elements that say by tag, role or a whole name in class or id that they're no article (menus, notices, comments, ...) don't count; one that
 is only named so and yet holds most of the page's content does.
 """
@@ -13,6 +14,7 @@ from __future__ import annotations
 import html as references
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +23,8 @@ from pyspark.sql import DataFrame
 
 from millrace.llm.common import appended
 
-TAG = re.compile(r"<(?:!--(?P<comment>)|(?P<end>/)?(?P<name>[a-zA-Z][^\s/>]*+)(?P<attributes>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|[!?/][^>]*+>)")
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+ENDS = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"(?i)\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 SPACES = re.compile(r"\s+")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
@@ -44,16 +47,22 @@ NEUTRAL = frozenset("site page main top bottom left right list item items box ba
 COMMENTS = frozenset("comment comments reply replies respond".split())
 #: An open element that a start tag of these ends.
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Where CLOSED_BY stops looking.
+SCOPES = ("ul", "ol", "table", "dl", "select")
 MAIN = ("article", "main")
-SIGMA, RADIUS, SHARE = 1.0, 2, 0.1
+#: What a path's score is worth under these.
+PRIOR = {"article": 2.0, "main": 1.5}
+#: Elements that are a piece of text: the element that holds the content is above them.
+PIECES = frozenset("p li dt dd td th tr pre blockquote q caption figcaption summary address center h1 h2 h3 h4 h5 h6".split())
+SIGMA, RADIUS, SHARE, MOST = 1.0, 2, 0.1, 0.8
 
 
 @dataclass
 class Block:
-    path: tuple[str, ...]
-    nodes: tuple[int, ...]  # the elements on the path, by their number on the page
+    path: int  # of the page's paths
+    node: int  # the innermost element that isn't inline, 0 for the page
     text: str
-    named: tuple[int, ...] = ()  # those of them that are named away, but not for certain
+    linked: int = 0  # characters inside of links
 
 
 HARD, SOFT = 2, 1
@@ -85,91 +94,172 @@ def named_away(name: str, attributes: str) -> int:
     return soft
 
 
-def blocks(page: str) -> list[Block]:
-    """Blocks of text outside of elements that are named away for certain. A broken page is read as far as its tags say."""
-    found: list[Block] = []
-    stack: list[tuple[str, int, int]] = []  # name, named away, number
-    unclosed: set[str] = set()
-    away, named, seen_main, parts, at, opened = 0, 0, False, [], 0, 0
-
-    def flush() -> None:
-        text = "".join(parts)
-        parts.clear()
+def tags(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, kind, name, attributes) of each tag; kind is "" or "/", or "!" for comments and what else is no element.
+
+    A > in quotes ends no tag. Where a tag starts that has no end, its < is text. Quotes that lead to no end are remembered, so none is followed twice.
+    """
+    lost: set[int] = set()
+    closing = {q: 0 for q in "\"'"}  # from there on no such quote is closed, once it's known
+    known = (0, -1)  # between these two there is nothing that ends or quotes
+
+    def next_end(at: int) -> int:
+        nonlocal known
+        if not known[0] <= at <= known[1]:
+            found = ENDS.search(page, at)
+            known = (at, found.start() if found else len(page))
+        return known[1]
+
+    def tag_end(at: int) -> int:
+        seen = []
+        while (k := next_end(at)) < len(page):
+            if page[k] == ">":
+                return k
+            seen.append(k)
+            at = page.find(page[k], k + 1) + 1 if k not in lost and not closing[page[k]] else 0
+            if not at:
+                closing[page[k]] |= k not in lost
+                break
+        lost.update(seen)
+        return -1
+
+    at = page.find("<")
+    while at >= 0:
+        end = at + 1
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            yield at, end, "!", "", ""
+        elif found := NAME.match(page, at + 1):
+            close = tag_end(found.end())
+            if close >= 0:
+                end = close + 1
+                yield at, end, found[1], found[2].lower(), page[found.end() : close]
+        elif page[at + 1 : at + 2] in ("!", "?", "/"):
+            close = page.find(">", at + 1)
+            end = close + 1 if close >= 0 else at + 1
+            if close >= 0:
+                yield at, end, "!", "", ""
+        at = page.find("<", end)
+
+
+class Page:
+    """A page's blocks outside of elements that are named away for certain; elements, by number, with their parents; and paths, which are shared."""
+
+    def __init__(self, page: str):
+        self.blocks: list[Block] = []
+        self.parents, self.names, self.soft = [0], [""], [False]  # of elements that aren't inline; 0 is the page
+        self.paths: dict[tuple[int, str], int] = {}
+        self.priors = [1.0]  # of paths
+        self._stack: list[tuple[str, int, int, int]] = []  # name, named away, element and path
+        self._open: dict[str, list[int]] = defaultdict(list)  # places of each name in the stack
+        self._hidden: list[int] = []  # places of what is named away
+        self._away, self._parts, self._linked, self._in_links = 0, [], 0, 0
+        self._read(page)
+
+    def _flush(self) -> None:
+        text = "".join(self._parts)
         text = SPACES.sub(" ", references.unescape(text) if "&" in text else text).strip()
         if text:
-            outer = [(n, k) for n, _, k in stack if n not in INLINE]
-            found.append(Block(tuple(n for n, _ in outer), tuple(k for _, k in outer), text, tuple(k for _, hidden, k in stack if hidden)))
-
-    def pop_to(depth: int) -> None:
-        nonlocal away, named
-        if any(n not in INLINE for n, _, _ in stack[depth:]):
-            flush()
-        while len(stack) > depth:
-            hidden = stack.pop()[1]
-            away -= hidden == HARD
-            named -= hidden > 0
-
-    while True:
-        tag = TAG.search(page, at)
-        if not away:
-            parts.append(page[at : tag.start() if tag else len(page)])
-        if not tag:
-            break
-        at = tag.end()
-        if tag["comment"] is not None:
-            end = page.find("-->", at)
-            at = len(page) if end < 0 else end + 3
-            continue
-        if not tag["name"]:
-            continue
-        name = tag["name"].lower()
-        if tag["end"]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is not None:
-                pop_to(depth)
-            elif name not in INLINE:
-                flush()
-            continue
-        if name in RAW:
-            end = None if name in unclosed else re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
-            if not end and name not in TO_THE_END:  # read on after the start tag; no later one has an end either
-                unclosed.add(name)
-                flush()
-                continue
-            if name not in ("svg", "math") and not away:
-                parts.append(" ")
-            at = end.end() if end else (at if tag["attributes"].rstrip().endswith("/") else len(page))
-            continue
-        if name in VOID:
-            if name not in INLINE and not away:
-                flush() if name == "hr" else parts.append(" ")
-            continue
+            _, _, node, path = self._stack[-1] if self._stack else ("", 0, 0, 0)
+            self.blocks.append(Block(path, node, text, self._linked))
+        self._parts, self._linked = [], 0
+
+    def _text(self, text: str) -> None:
+        if not self._away:
+            self._parts.append(text)
+            self._linked += len(text) if self._in_links else 0
+
+    def _push(self, name: str, hidden: int) -> None:
+        _, _, node, path = self._stack[-1] if self._stack else ("", 0, 0, 0)
         if name not in INLINE:
-            flush()
-            if any(n == "p" for n, _, _ in stack):  # a block ends the paragraph before it
-                pop_to(max(i for i, (n, _, _) in enumerate(stack) if n == "p"))
-        ended = CLOSED_BY.get(name)
-        if ended:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ("ul", "ol", "table", "dl", "select"):
-                    break
-                if stack[i][0] in ended:
-                    pop_to(i)
-                    break
-        bad = named_away(name, tag["attributes"])
-        if name in MAIN and named and not bad and not seen_main:  # an element before the article was left open
-            pop_to(next(i for i, (_, hidden, _) in enumerate(stack) if hidden))
-        seen_main |= name in MAIN and not bad
-        if bad:
-            flush()
-        if tag["attributes"].endswith("/") and name in INLINE:
-            continue
-        opened += 1
-        stack.append((name, bad, opened))
-        away += bad == HARD
-        named += bad > 0
-    flush()
-    return found
+            self.parents.append(node)
+            self.names.append(name)
+            self.soft.append(hidden > 0)
+            node = len(self.parents) - 1
+            above, path = path, self.paths.setdefault((path, name), len(self.priors))
+            if path == len(self.priors):
+                self.priors.append(max(self.priors[above], PRIOR.get(name, 1.0)))
+        self._open[name].append(len(self._stack))
+        if hidden:
+            self._hidden.append(len(self._stack))
+        self._stack.append((name, hidden, node, path))
+        self._away += hidden == HARD
+        self._in_links += name == "a"
+
+    def _pop_to(self, depth: int) -> None:
+        if any(self._stack[i][0] not in INLINE for i in range(len(self._stack) - 1, depth - 1, -1)):
+            self._flush()
+        while len(self._stack) > depth:
+            name, hidden, _, _ = self._stack.pop()
+            self._open[name].pop()
+            if hidden:
+                self._hidden.pop()
+            self._away -= hidden == HARD
+            self._in_links -= name == "a"
+
+    def _last(self, names: tuple[str, ...] | set[str]) -> int:
+        return max((self._open[n][-1] for n in names if self._open.get(n)), default=-1)
+
+    def _read(self, page: str) -> None:
+        unclosed: set[str] = set()
+        seen_main, at = False, 0
+        for start, end, kind, name, attributes in tags(page):
+            if start < at:
+                continue  # inside of a script
+            self._text(page[at:start])
+            at = end
+            if kind == "!":
+                continue
+            if kind:
+                depth = self._last((name,))
+                if depth >= 0:
+                    self._pop_to(depth)
+                elif name not in INLINE:
+                    self._flush()
+                continue
+            if name in RAW:
+                close = None if name in unclosed else re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
+                if not close and name not in TO_THE_END:  # read on after the start tag; no later one has an end either
+                    unclosed.add(name)
+                    self._flush()
+                    continue
+                if name not in ("svg", "math"):
+                    self._text(" ")
+                at = close.end() if close else (at if attributes.rstrip().endswith("/") else len(page))
+                continue
+            if name in VOID:
+                if name == "hr":
+                    self._flush()
+                elif name not in INLINE:
+                    self._text(" ")
+                continue
+            if name not in INLINE:
+                self._flush()
+                if self._open["p"]:  # a block ends the paragraph before it
+                    self._pop_to(self._open["p"][-1])
+            ended = CLOSED_BY.get(name)
+            if ended and (last := self._last(ended)) > self._last(SCOPES):
+                self._pop_to(last)
+            bad = named_away(name, attributes)
+            if name in MAIN and self._hidden and not bad and not seen_main:  # an element before the article was left open
+                self._pop_to(self._hidden[0])
+            seen_main |= name in MAIN and not bad
+            if bad:
+                self._flush()
+            if not (attributes.endswith("/") and name in INLINE):
+                self._push(name, bad)
+        self._text(page[at:])
+        self._flush()
+
+    def sums(self, amounts: dict[int, float] | list[float]) -> list[float]:
+        """Of each element: what it and all elements in it have. A parent's number is smaller than its children's."""
+        out = [0.0] * len(self.parents)
+        for node in range(len(self.parents)):
+            out[node] = amounts[node]
+        for node in range(len(self.parents) - 1, 0, -1):
+            out[self.parents[node]] += out[node]
+        return out
 
 
 def smoothed(scores: np.ndarray) -> np.ndarray:
@@ -178,65 +268,80 @@ def smoothed(scores: np.ndarray) -> np.ndarray:
     return np.convolve(padded, kernel / kernel.sum(), "valid")
 
 
-def over_threshold(found: list[Block]) -> np.ndarray:
+def over_threshold(found: list[Block], priors: list[float]) -> np.ndarray:
     """Which blocks are content by the ratios of their paths."""
-    lengths, marks, number = defaultdict(int), defaultdict(int), defaultdict(int)
-    for b in found:
-        lengths[b.path] += len(b.text)
-        marks[b.path] += len(PUNCTUATION.findall(b.text))
-        number[b.path] += 1
-    fused = {p: np.log1p(lengths[p] / number[p]) * np.log1p(marks[p] / number[p] + 0.5) * np.log1p(lengths[p]) for p in number}
-    score = smoothed(np.array([fused[b.path] for b in found]))
+    path = np.array([b.path for b in found])
+    lengths = np.bincount(path, [len(b.text) for b in found])
+    marks = np.bincount(path, [len(PUNCTUATION.findall(b.text)) for b in found])
+    number = np.maximum(np.bincount(path), 1)
+    fused = np.log1p(lengths / number) * np.log1p(marks / number + 0.5) * np.log1p(lengths) * np.array(priors[: len(number)])
+    score = smoothed(fused[path])
     return score >= SHARE * score.max()
 
 
-def outside_named(found: list[Block]) -> list[Block]:
-    """Blocks outside of named elements. A named element counts as any other if it holds most of the content, and that is prose: a mark per block at least."""
-    if not any(b.named for b in found):
+def outside_named(page: Page) -> list[Block]:
+    """Blocks outside of named elements. A named element counts as any other if it holds most of the content, and that is prose (a mark per block at least), and no article with content is elsewhere."""
+    found = page.blocks
+    if not found or not any(page.soft):
         return found
-    held, marks, number, total = defaultdict(int), defaultdict(int), defaultdict(int), 0
-    for b, good in zip(found, over_threshold(found).tolist(), strict=True):
-        total += good * len(b.text)
-        for node in b.named if good else ():
-            held[node] += len(b.text)
-            marks[node] += len(PUNCTUATION.findall(b.text))
-            number[node] += 1
-    excused = {k for k in held if 2 * held[k] > total and marks[k] >= number[k]}
-    return [b for b in found if excused.issuperset(b.named)]
-
-
-def content(found: list[Block]) -> list[str]:
+    held, marks, number, main = (defaultdict(float) for _ in range(4))
+    for b, good in zip(found, over_threshold(found, page.priors).tolist(), strict=True):
+        if good:
+            held[b.node] += len(b.text)
+            marks[b.node] += len(PUNCTUATION.findall(b.text))
+            number[b.node] += 1
+            main[b.node] += len(b.text) * (page.priors[b.path] > 1)
+    length, mark, count, article = page.sums(held), page.sums(marks), page.sums(number), page.sums(main)
+    gone = [False] * len(page.parents)
+    for node in range(1, len(gone)):
+        excused = 2 * length[node] > length[0] and mark[node] >= count[node] and article[0] - article[node] <= SHARE * length[0]
+        gone[node] = gone[page.parents[node]] or page.soft[node] and not excused
+    return [b for b in found if not gone[b.node]]
+
+
+def content(page: Page) -> list[str]:
     """Texts of the article's blocks, in order."""
-    found = outside_named(found)
+    found = outside_named(page)
     if not found:
         return []
-    chosen = over_threshold(found)
-    weight = defaultdict(int)  # of elements: their content
-    depths: dict[int, int] = {}
-    total = 0
-    for b, good in zip(found, chosen.tolist(), strict=True):
-        if good:
-            total += len(b.text)
-            for depth, node in enumerate(b.nodes):
-                weight[node] += len(b.text)
-                depths[node] = depth
-    for name in MAIN:
-        own = [next((k for n, k in zip(b.path, b.nodes, strict=True) if n == name), None) for b in found]
-        held = {k: weight[k] for k in own if k in weight}
-        if held and sum(held.values()) >= SHARE * total:
-            least = SHARE * max(held.values())
-            return [b.text for b, k in zip(found, own, strict=True) if held.get(k, -1) >= least]
-    home = max((k for k in weight if weight[k] >= 0.8 * total), key=depths.__getitem__, default=None)
-    inside = [home is None or home in b.nodes for b in found]
-    return [b.text for b, good, near in zip(found, chosen.tolist(), inside, strict=True) if near and (good or b.path[-1:] and b.path[-1] in HEADINGS)]
+    good = over_threshold(found, page.priors).tolist()
+    lengths, chosen, linked = (defaultdict(float) for _ in range(3))
+    for b, is_good in zip(found, good, strict=True):
+        lengths[b.node] += len(b.text)
+        linked[b.node] += b.linked
+        chosen[b.node] += is_good * len(b.text)
+    length, weight, links = page.sums(lengths), page.sums(chosen), page.sums(linked)
+    home = 0
+    for node in range(1, len(weight)):  # the elements that hold most of the content are one inside of the other
+        if weight[node] >= MOST * weight[0] and page.names[node] not in PIECES and (page.names[home] not in MAIN or page.names[home] == "main" and page.names[node] == "article"):
+            home = node
+    whole = page.names[home] in ("", "html", "body")
+    state = [0] * len(weight)  # 0: outside; 1: taken; 2: only what is content; 3: none
+    for node in range(len(weight)):
+        above = page.parents[node]
+        if node == home:
+            state[node] = 2 if whole else 1
+        elif node and above == home:
+            if whole:
+                state[node] = 1 if weight[node] and 2 * weight[node] >= length[node] else 2
+            else:
+                state[node] = 3 if not weight[node] and 2 * links[node] > length[node] and page.names[home] not in MAIN else 1
+        elif node:
+            state[node] = state[above]
+    kept = lambda b, is_good: state[b.node] == 1 or state[b.node] == 2 and (is_good or page.names[b.node] in HEADINGS)
+    return [b.text for b, is_good in zip(found, good, strict=True) if kept(b, is_good)]
 
 
 def main_text(page: str | None) -> str:
-    return "\n".join(content(blocks(page or "")))
+    return "\n".join(content(Page(page or "")))
 
 
 def extracted(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Add text and n_chars to every row, in place of columns of these names. Null or empty html, or none with an article: an empty text."""
+    """Add text and n_chars to every row, in place of columns of these names; other columns stay, whatever their names.
+
+    Null or empty html, or none with an article: an empty text. A page of any length is one row of a task, read in linear time. Ties between elements go to the
+    innermost; repeated rows are read alike; an empty table gives no rows.
+    """
     place = pages.drop("text", "n_chars").columns.index(html)
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:

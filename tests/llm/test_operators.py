@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+import time
 from collections import Counter
 from fractions import Fraction
 
@@ -319,6 +321,84 @@ def test_unclosed_scripts_go_on_to_the_end():
     assert extract.main_text("<article><p>Text.</p><script>var t = '<p>no</p>'</article>") == "Text."
 
 
+def test_ratios_equal_brute_force():
+    """Paths, ratios, their fusion, smoothing and the threshold, in plain Python on the pages' tags."""
+    rng = random.Random(4)
+    for _ in range(60):
+        made = []
+        for _ in range(rng.randint(1, 14)):
+            path = rng.choice([["div", "p"], ["div", "ul", "li"], ["article", "p"], ["main", "div"], ["h2"], ["section", "div", "p"]])
+            made.append((path, " ".join(rng.choice(["word", "and", "more.", "so,"]) for _ in range(rng.choice([1, 3, 40])))))
+        page = extract.Page("".join("".join(f"<{n}>" for n in path) + text + "".join(f"</{n}>" for n in reversed(path)) for path, text in made))
+        assert [b.text for b in page.blocks] == [t for _, t in made]
+        fused = []
+        for path, _ in made:
+            own = [t for other, t in made if other == path]
+            ratio, marks = sum(map(len, own)) / len(own), sum(t.count(".") + t.count(",") for t in own) / len(own)
+            fused.append(math.log(1 + ratio) * math.log(1.5 + marks) * math.log(1 + sum(map(len, own))) * max(extract.PRIOR.get(n, 1) for n in path))
+        at = lambda i: fused[min(max(i, 0), len(fused) - 1)]
+        weights = {k: math.exp(-0.5 * k * k) for k in range(-2, 3)}
+        score = [sum(w * at(i + k) for k, w in weights.items()) / sum(weights.values()) for i in range(len(fused))]
+        assert extract.over_threshold(page.blocks, page.priors).tolist() == [s >= 0.1 * max(score) for s in score]
+
+
+def test_tags_equal_brute_force():
+    """On random rubbish the tags are those that a reader finds who starts anew at each <."""
+
+    def plain(page, at):
+        quote = ""
+        for i in range(at, len(page)):
+            if quote:
+                quote = "" if page[i] == quote else quote
+            elif page[i] == ">":
+                return i
+            elif page[i] in "\"'":
+                quote = page[i]
+        return -1
+
+    rng = random.Random(6)
+    for _ in range(3000):
+        page = "".join(rng.choices(["<a", "<", ">", '"', "'", " ", "b", "</p", "<p>", "<!--", "-->", "<!x"], k=rng.randint(1, 25)))
+        found, at = [], page.find("<")
+        while at >= 0:
+            end = at + 1
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4) + 3 if page.find("-->", at + 4) >= 0 else len(page)
+                found.append((at, end))
+            elif name := re.match("/?[a-z][^\\s/>]*", page[at + 1 :]):
+                close = plain(page, at + 1 + name.end())
+                if close >= 0:
+                    end = close + 1
+                    found.append((at, end))
+            elif page[at + 1 : at + 2] in ("!", "?", "/") and page.find(">", at) >= 0:
+                end = page.find(">", at) + 1
+                found.append((at, end))
+            at = page.find("<", end)
+        assert [(a, b) for a, b, *_ in extract.tags(page)] == found
+
+
+@pytest.mark.parametrize("part", ["<div>x", "<a '", "<a \"'", "</x></div>", "<dd><dl><div>", "<a ", "<p>x<b>", "<!-", "<noscript><svg>", "<", "<p title=\"a'b>c'>x"])
+def test_hostile_pages_take_linear_time(part):
+    page, took = part * (400_000 // len(part)), []
+    for size in (len(page) // 4, len(page)):
+        began = time.process_time()
+        extract.main_text(page[:size])
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0] + 0.5
+
+
+def test_pages_without_an_article_element(spark, monkeypatch):
+    """A second table, and the ratios alone: neither the element nor names are needed on nearly all pages."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    expected = [extract.main_text(h) for h in pages]
+    assert sum(a == extract.main_text(re.sub("<(/?)article>", r"<\1div>", h)) for a, h in zip(expected, pages, strict=True)) >= 248
+    monkeypatch.setattr(extract, "PRIOR", {})
+    monkeypatch.setattr(extract, "MAIN", ())
+    assert sum(a == extract.main_text(h) for a, h in zip(expected, pages, strict=True)) >= 248
+    monkeypatch.setattr(extract, "WORDS", frozenset())
+    assert sum(a == extract.main_text(h) for a, h in zip(expected, pages, strict=True)) >= 240
+
+
 def test_extraction_of_the_table(spark):
     pages = spark.read.parquet(f"{FOLDER}/pages.parquet").withColumn("text", F.lit("clash"))
     rows = extract.extracted(pages).collect()
