@@ -79,14 +79,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def attached(df: DataFrame, known: DataFrame, key: str, by: str) -> DataFrame:
+def attached(df: DataFrame, known: DataFrame, key: str | list[str], by: str | list[str]) -> DataFrame:
     """Inner join of ``df`` with ``known``, which has one row per ``key``, where a key may hold any share of ``df``.
 
     The rows of a key are spread by ``by`` over PARTS places; what is known of the key goes to those of them that have rows.
     """
-    dealt = df.withColumn("part", F.pmod(F.xxhash64(by), F.lit(PARTS)))
-    places = dealt.select(key, "part").distinct()
-    return dealt.join(places.join(known, key), [key, "part"]).drop("part")
+    keys, spread = ([x] if isinstance(x, str) else x for x in (key, by))
+    dealt = df.withColumn("part", F.pmod(F.xxhash64(*spread), F.lit(PARTS)))
+    places = dealt.select(*keys, "part").distinct()
+    return dealt.join(places.join(known, keys), [*keys, "part"]).drop("part")
 
 
 def sliced(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:

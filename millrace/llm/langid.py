@@ -94,16 +94,21 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, size: int = PROFILE, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Profiles:
-    """Profiles from labelled documents that aren't held out. One row per language comes to the driver, then its profile."""
-    usable = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
-    counts = usable.groupBy(F.col(lang).alias("lang")).count().collect()
+    """Profiles from labelled documents that aren't held out. One row per language comes to the driver, then its profile.
+
+    Null texts, languages and ids teach nothing; empty and letterless texts have no n-grams. A row that repeats counts as often as it's there, a text of any
+    length counts whole. Other columns than the three named aren't looked at.
+    """
+    known = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
+    usable = known.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("documents")).collect()
     if not counts:
         return Profiles.of({}, size)
-    rates = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, sample / r["count"])) for r in counts], "of string, rate double")
+    rates = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, sample / r["documents"])) for r in counts], "lang string, rate double")
     if len(counts) <= MOST_BROADCAST:  # one row per language: else the texts would be shuffled to meet them
         rates = F.broadcast(rates)
-    draw = F.pmod(F.xxhash64(F.lit("language sample"), F.col(doc_id)), F.lit(1 << 30)) / float(1 << 30)
-    picked = usable.join(rates, F.col(lang) == F.col("of")).where(draw < F.col("rate")).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    draw = F.pmod(F.xxhash64(F.lit("language sample"), "id"), F.lit(1 << 30)) / float(1 << 30)
+    picked = usable.join(rates, "lang").where(draw < F.col("rate")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -123,9 +128,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE, size: int = PROFILE, doc_id: str
 
 
 def identify(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
-    """Add lang_pred and score to every row, in place of columns of these names.
+    """Add lang_pred and score to every row, in place of columns of these names; other columns stay, whatever their names.
 
-    Null, empty or letterless text: ``und`` and 0. So is every text if nothing could be learned.
+    Null, empty or letterless text: ``und`` and 0. So is every text if nothing could be learned. A text of any length is read whole, as one row.
+    Ties go to the first language by code point, n-grams of equal frequency to the smaller code. Rows that repeat are predicted alike; an empty table gives no rows.
     """
     place = docs.drop("lang_pred", "score").columns.index(text)
 
