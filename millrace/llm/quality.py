@@ -1,11 +1,15 @@
 """Quality rules with risk-controlled thresholds.
 
 Each rule rejects documents whose ratio is over a cutoff. Combinations of cutoffs are tested on labelled holdouts, per stratum (lang): the null
-hypothesis "the rules together reject ``RISK`` or more of the good documents" is tested by the exact binomial tail, which is the Clopper-Pearson
+hypothesis "of the good documents that pass the base rule, the rules together reject ``RISK`` or more" is tested by the exact binomial tail, which is the Clopper-Pearson
 upper bound turned round. The combinations of a stratum are one sequence, ordered before any data is seen: each tightens one rule by one cutoff.
 They are tested from the loosest on and the strictest before the first failure is taken (fixed-sequence testing needs no correction within
 a sequence); over all strata the level is divided by their number (Bonferroni). So with probability 1 - LEVEL at least, no stratum loses over RISK
-of its good documents. A stratum with too few holdouts (under 217 of four strata) gets no cutoff and loses nothing.
+of its good documents that pass the base rule.
+
+A language whose labels are too few to show anything, even if none were rejected (under 228 of four), is no stratum of its own. It takes the cutoffs of the pool, which is
+one more stratum: all labelled languages together. The pool's bound is on all of its documents, not on each of its languages. Documents of a
+language without labels lose nothing.
 """
 
 from __future__ import annotations
@@ -104,29 +108,38 @@ def first_rejected() -> Column:
     return F.least(*firsts)
 
 
+def fewest(strata: int, risk: float, level: float) -> int:
+    """Good documents that a stratum needs, if none of them is rejected, to show anything."""
+    return math.ceil(math.log(level / (strata + 1)) / math.log1p(-risk))
+
+
 def cutoffs(known: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> dict[str | None, dict[str, float]]:
-    """Cutoffs per stratum from labelled good documents; a document is good if all its labels have quality 1.
+    """Cutoffs of each labelled language from labelled good documents; a document is good if all its labels have quality 1.
 
-    A count per stratum and combination comes to the driver, nothing per document.
+    A doc_id counts once, however often it's stored or labelled: in the first of its languages, as rejected by the first combination that rejects any of its rows.
+    A count per language and combination comes to the driver, nothing per document.
     """
-    good = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("quality")).where("quality = 1")
-    held = known.where(~base_failed()).join(good, F.col("doc_id") == F.col("_id"))
+    good = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), "quality").where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1")
+    held = known.where(~base_failed()).select("doc_id", "lang", first_rejected().alias("place")).join(good.select("doc_id"), "doc_id")
+    held = held.groupBy("doc_id").agg(F.min("lang").alias("lang"), F.min("place").alias("place"))
     first: dict[str | None, list[int]] = {}
-    for lang, place, n in held.groupBy("lang", first_rejected().alias("place")).count().collect():
-        first.setdefault(lang, [0] * (len(SEQUENCE) + 1))[place] = n
-    out: dict[str | None, dict[str, float]] = {}
-    for lang, counted in first.items():
-        passed = strictest(list(accumulate(counted[:-1])), sum(counted), risk, level / len(first))
-        if passed:
-            out[lang] = dict(SEQUENCE[:passed])
-    return out
+    for row in held.groupBy("lang", "place").agg(F.count(F.lit(1)).alias("documents")).collect():
+        first.setdefault(row["lang"], [0] * (len(SEQUENCE) + 1))[row["place"]] = row["documents"]
+    own = {lang for lang, counted in first.items() if sum(counted) >= fewest(len(first), risk, level)}
+
+    def passing(counted: list[int]) -> dict[str, float]:
+        return dict(SEQUENCE[: strictest(list(accumulate(counted[:-1])), sum(counted), risk, level / (len(own) + 1))])
+
+    pool = passing([sum(column) for column in zip(*first.values(), strict=True)]) if first else {}
+    return {lang: rules for lang, counted in first.items() if (rules := passing(counted) if lang in own else pool)}
 
 
 def judged(docs: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
     """doc_id, COUNTS, base_failed and kept, one row per row of ``docs``.
 
-    Null and empty texts have no words and fail the base rule. A null lang is a stratum. Strata without cutoffs, an empty label table included,
-    reject nothing beyond the base rule. Repeated rows are judged alike; repeated labels of a document count once.
+    Null and empty texts have no words and fail the base rule; texts of any length are counted whole. A null lang is a language as others are. Languages without cutoffs, an empty
+    label table included, lose nothing beyond the base rule. Repeated rows are judged alike, and are one holdout; ties (a ratio at its cutoff) are kept.
+    Columns other than those named are dropped, whatever their names; an empty table gives no rows.
     """
     known = staged(measured(docs), "counts")
     found = cutoffs(known, labels, risk, level)

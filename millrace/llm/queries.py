@@ -69,6 +69,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_decontaminate": sql.DECONTAMINATION,
     "op6_near_dedup": sql.NEAR_DEDUP,
     "op7_chat": sql.CHAT,
+    "op8_quality": sql.quality(quality.RULES, quality.SEQUENCE, quality.RISK, quality.LEVEL),
     "op9_warc": sql.WARC,
     "op10_line_dedup": sql.LINE_DEDUP,
 }

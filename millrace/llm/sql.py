@@ -59,6 +59,30 @@ select page_id, n payload_bytes, array_to_string(list_transform(range(0, 32), la
     case when page_id = o then 'response' else 'revisit' end record_type, case when page_id <> o then o end refers_to from d"""
 
 
+def quality(rules: dict[str, tuple[str, list[float]]], sequence: list[tuple[str, float]], risk: float, level: float) -> str:
+    """Counts, cutoffs by exact binomial tails, and verdicts."""
+    first = ", ".join("case " + " ".join(f"when {ratio} > {cut} then {sequence.index((rule, cut))}" for cut in grid) + f" else {len(sequence)} end" for rule, (ratio, grid) in rules.items())
+    number = len(sequence)
+    return f"""
+with t as (select doc_id, lang, coalesce(text, '') t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') w from documents),
+l as (select doc_id, count(*) n_lines, count(distinct l) n_kinds from (select doc_id, unnest(string_split(t, chr(10))) l from t) where regexp_matches(l, '[^\\x20\\x09-\\x0D]') group by 1),
+v as (select doc_id, i, array_to_string(w[i:i + 7], ' ') v from (select doc_id, w, unnest(range(1, len(w) - 6)) i from t where len(w) >= 8)),
+r as (select doc_id, count(distinct p) n from (select doc_id, unnest(range(i, i + 8)) p from (select doc_id, i, count(*) over (partition by doc_id, v) k from v) where k > 1) group by 1),
+c as materialized (select doc_id, lang, len(w)::bigint n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g'))::bigint word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint n_symbols,
+    coalesce(n_lines - n_kinds, 0)::bigint n_dup_lines, coalesce(r.n, 0)::bigint n_repeat_words, coalesce(n_lines, 0)::bigint n_lines from t left join l using (doc_id) left join r using (doc_id)),
+f as materialized (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words base_failed, least({first}) place from c),
+g as (select doc_id from labels where doc_id is not null and quality is not null group by 1 having min(quality) = 1),
+h as materialized (select min(lang) lang, min(place) place from f join g using (doc_id) where not base_failed group by doc_id),
+s as (select lang, count(*) n from h group by 1),
+o as materialized (select lang, n from s where n >= (select ceil(ln({level} / (count(*) + 1)) / ln(1 - {risk})) from s)),
+u as (select true pool, null lang, count(*) n from h having count(*) > 0 union all select false, lang, n from o),
+q as (select pool, lang, n, i, (select count(*) from h where place <= i and (pool or h.lang is not distinct from u.lang)) k from u, range(0, {number}) x(i)),
+e as (select pool, lang, i, k > {risk} * n or list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({risk}) + (n - j) * ln(1 - {risk})))) > {level} / ((select count(*) from o) + 1) bad from q),
+p as (select pool, lang, coalesce(min(i) filter (bad), {number}) passed from e group by 1, 2),
+z as (select s.lang, coalesce(a.passed, b.passed) passed from s left join p a on not a.pool and a.lang is not distinct from s.lang left join p b on b.pool)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and (passed is null or place >= passed) kept from f left join z on z.lang is not distinct from f.lang"""
+
+
 def url_filter(rules: list[tuple[str, str]], href: str, steps: int, damping: float, threshold: float) -> str:
     """Rules by a table of them; propagation with one query per step."""
     low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

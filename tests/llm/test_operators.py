@@ -626,6 +626,59 @@ def test_few_hundred_good_labels_give_cutoffs(spark):
     assert all(got[i] == (text == good or lang == "e") for i, text, lang, *_ in rows)  # 360 good ones a stratum; nothing is known of e
 
 
+def test_languages_with_few_labels_take_the_pool(spark):
+    good, junk = " ".join(f"word{i}" for i in range(40)), " ".join(f"a{i}##" for i in range(40))
+    rows = [(i, junk if i % 10 == 9 else good, "ab"[i // 200], "s", 0) for i in range(400)] + [(900, junk, "c", "s", 0)] + [(i, good, None, "s", 0) for i in range(950, 990)]
+    labels = spark.createDataFrame([(r[0], int(r[1] == good), 0) for r in rows if r[2] != "c"], "doc_id bigint, quality int, toxic int")
+    docs = spark.createDataFrame(rows, DOCS)
+    assert max(180, 40) < quality.fewest(3, quality.RISK, quality.LEVEL) <= 400  # none has enough by itself
+    found = quality.cutoffs(quality.measured(docs), labels)
+    assert found.keys() == {"a", "b", None} and len({str(c) for c in found.values()}) == 1
+    got = {r.doc_id: r.kept for r in quality.judged(docs, labels).collect()}
+    assert all(got[i] == (text == good or lang == "c") for i, text, lang, *_ in rows)
+
+
+def test_a_repeated_document_is_one_holdout(spark):
+    good = " ".join(f"word{i}" for i in range(40))
+    docs = spark.createDataFrame([(i % 20, good, "a", "s", 0) for i in range(2000)], DOCS)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id bigint, quality int, toxic int")
+    assert quality.cutoffs(quality.measured(docs), labels) == {}  # 20 good documents show nothing
+
+
+def test_cutoffs_equal_brute_force(spark):
+    """Exact fractions over every combination, on documents whose ratios straddle the cutoffs."""
+    rng = random.Random(12)
+    made = lambda: " ".join(f"w{rng.randrange(10**6)}" + "#" * (rng.random() < share) for share in [rng.choice([0, 0, 0, 0, 0.03, 0.2])] for _ in range(60))
+    rows = [(i, made(), rng.choice([*"aaaaaaaab", None]), "s", 0) for i in range(1400)]
+    labels = [(i, int(rng.random() < 0.9), 0) for i in range(1400)]
+    docs = spark.createDataFrame(rows, DOCS)
+    known = {r.doc_id: r for r in quality.measured(docs).collect()}
+    held = {}
+    for i, label, _ in labels:
+        r = known[i]
+        if label and not (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words):
+            ratio = {"symbols": r.n_symbols / r.n_words, "dup_lines": r.n_dup_lines / r.n_lines, "repeats": r.n_repeat_words / r.n_words, "long_words": r.word_chars / r.n_words, "short_words": -r.word_chars / r.n_words}
+            held.setdefault(r.lang, []).append(ratio)
+    everyone = [r for own in held.values() for r in own]
+    least = next(n for n in range(1, 9999) if 0.98**n <= 0.05 / (len(held) + 1))
+    own = [lang for lang in held if len(held[lang]) >= least]
+
+    def passing(ratios):
+        cuts = {}
+        for rule, cut in quality.SEQUENCE:
+            tried = cuts | {rule: cut}
+            k, n = sum(any(r[x] > c for x, c in tried.items()) for r in ratios), len(ratios)
+            tail = sum(Fraction(math.comb(n, i)) * Fraction(1, 50) ** i * Fraction(49, 50) ** (n - i) for i in range(k + 1))
+            if tail > Fraction(5, 100) / (len(own) + 1):
+                break
+            cuts = tried
+        return cuts
+
+    expected = {lang: passing(held[lang]) if lang in own else passing(everyone) for lang in held}
+    assert quality.cutoffs(quality.measured(docs), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")) == {k: v for k, v in expected.items() if v}
+    assert "a" in own and len(own) < len(held)
+
+
 def test_sequence_tightens_every_rule_to_its_end():
     assert len(quality.SEQUENCE) == sum(len(grid) for _, grid in quality.RULES.values())
     assert all([cut for r, cut in quality.SEQUENCE if r == rule] == grid for rule, (_, grid) in quality.RULES.items())
