@@ -1,8 +1,8 @@
 """WARC archives in seekable Zstandard bundles.
 
 Records are grouped into independent frames of about FRAME_BYTES; a bundle ends with a seek table in a skippable frame (the public
-seekable format), and an index maps each record to bundle, frame and offset within the frame. Of records with equal payloads one is
-a response, the others are revisits that refer to it.
+seekable format), and an index maps each record's identifier to bundle, frame and offset within the frame. A reader seeks: it reads the bundle's
+end and then the frame that it wants. Of records with equal payloads one is a response, the others are revisits that refer to it.
 
 Tasks write bundles of bounded size under names of their own attempt to the shared folder; the index holds the bundles of attempts that
 Spark committed, and readers go by the index. So a lost executor or a second attempt leaves files that nobody reads, never half a result.
@@ -16,6 +16,7 @@ import re
 import struct
 import uuid
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -23,9 +24,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import scratch, sliced, staged
+from millrace.llm.common import PARTS, scratch, sliced, staged
 
-FRAME_BYTES, BUNDLE_BYTES, LEVEL = 256 << 10, 8 << 20, 3
+FRAME_BYTES, BUNDLE_BYTES, BUNDLE_RECORDS, LEVEL = 256 << 10, 8 << 20, 20_000, 3
+#: Tasks that read, at most.
 MOST_PARTS = 20_000
 # Fixed values of the seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -115,11 +117,43 @@ def seek_table(tail: bytes) -> list[tuple[int, int]]:
     return [struct.unpack_from("<II", entries, 8 * i) for i in range(number)]
 
 
+def unpacked(packed: bytes, size: int) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(packed, max_output_size=size)
+
+
 def frame(bundle: bytes, number: int) -> bytes:
-    """One frame of a bundle, without reading the others."""
+    """One frame of a bundle that is in memory, without unpacking the others."""
     sizes = seek_table(bundle)
     start = sum(packed for packed, _ in sizes[:number])
-    return zstandard.ZstdDecompressor().decompress(bundle[start : start + sizes[number][0]], max_output_size=sizes[number][1])
+    return unpacked(bundle[start : start + sizes[number][0]], sizes[number][1])
+
+
+class Frames:
+    """The frames of a stored bundle: its end is read once, then each frame that is asked for."""
+
+    def __init__(self, folder: str, name: str):
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(folder)
+        self._file = store.open_input_file(f"{path}/{name}")
+        size = self._file.size()
+        number = struct.unpack("<I", self._at(9, size - 9)[:4])[0]
+        table = min(size, 9 + 8 * number)
+        self.sizes = seek_table(self._at(table, size - table))
+        self.starts = [0, *accumulate(packed for packed, _ in self.sizes)]
+
+    def __enter__(self) -> Frames:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        self._file.close()
+
+    def _at(self, size: int, start: int) -> bytes:
+        return self._file.read_at(size, start)
+
+    def read(self, number: int) -> bytes:
+        packed, full = self.sizes[number]
+        return unpacked(self._at(packed, self.starts[number]), full)
 
 
 def put(folder: str, name: str, data: bytes) -> None:
@@ -133,17 +167,10 @@ def put(folder: str, name: str, data: bytes) -> None:
     store.move(f"{path}/.{name}", f"{path}/{name}")
 
 
-def get(folder: str, name: str) -> bytes:
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(folder)
-    with store.open_input_stream(f"{path}/{name}", compression=None) as file:
-        return file.read()
-
-
 def read_record(folder: str, bundle: str, number: int, offset: int) -> tuple[dict[str, str], bytes]:
-    """Headers and payload of an indexed record: its frame alone is unpacked."""
-    head, payload, _ = parse(frame(get(folder, bundle), number), offset)
+    """Headers and payload of an indexed record: the bundle's end and the record's frame are read, nothing else."""
+    with Frames(folder, bundle) as frames:
+        head, payload, _ = parse(frames.read(number), offset)
     return head, payload
 
 
@@ -151,16 +178,22 @@ def planned(pages: DataFrame, least: int = 0) -> DataFrame:
     """Pages with refers_to and revisit: of equal payloads of at least ``least`` bytes the smallest page_id is the response.
 
     Rows that repeat that page_id are all responses. Null page_ids revisit another page with their payload, and are responses if there is none.
+    Payloads that occur twice or more are found on ids and digests; pages of one payload are spread over PARTS places where they learn its first id.
     """
     page = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    keyed = page.withColumn("key", F.sha1("html"))
-    first = page.select(F.sha1("html").alias("key"), "page_id").groupBy("key").agg(F.min("page_id").alias("first"))
-    revisit = (F.octet_length("html") >= least) & F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
-    return keyed.join(first, "key").select("page_id", "url", "html", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
+    part = F.pmod(F.xxhash64("page_id", "url"), F.lit(PARTS))
+    keyed = page.withColumn("key", F.unhex(F.sha1("html"))).withColumn("part", part)
+    narrow = keyed.where(F.octet_length("html") >= least).select("key", "part", "page_id")
+    parts = narrow.groupBy("key", "part").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("pages"))
+    whole = parts.groupBy("key").agg(F.min("first").alias("first"), F.sum("pages").alias("pages")).where("pages > 1 and first is not null")
+    known = parts.select("key", "part").join(whole, "key").select("key", "part", "first")
+    revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
+    joined = keyed.join(staged(known, "payloads"), ["key", "part"], "left")
+    return joined.select("page_id", "url", "html", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
 
 
 def written(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
-    """Write all pages as bundles to ``folder`` and return the index, a table that is written too."""
+    """Write all pages as bundles to ``folder`` and return the index, a table that is written too. A page of any length is one record, larger than a frame if it must."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -180,7 +213,7 @@ def written(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
                 data = record(row["page_id"], row["url"], row["html"].encode(), row["refers_to"], row["revisit"])
                 number, offset = bundle.add(data)
                 rows.append({"page_id": row["page_id"], "frame": number, "offset": offset, "length": len(data)})
-                if bundle.packed_size() >= BUNDLE_BYTES:
+                if bundle.packed_size() >= BUNDLE_BYTES or len(rows) >= BUNDLE_RECORDS:
                     yield finish()
         if rows:
             yield finish()
@@ -197,36 +230,59 @@ def number_of(urn: str) -> int | None:
     return None if value == "none" else int(value)
 
 
-def records(bundle: bytes) -> Iterator[dict]:
-    """What each record of a bundle says of itself; a response's payload must have the digest and length it names."""
-    for number in range(len(seek_table(bundle))):
-        data, at = frame(bundle, number), 0
-        while at < len(data):
-            head, payload, at = parse(data, at)
-            named, length, kind = head["WARC-Payload-Digest"].removeprefix("sha1:"), int(head["WARC-Payload-Length"]), head["WARC-Type"]
-            if kind == "response" and (digest(payload), len(payload)) != (named, length):
-                raise ValueError(f"{head['WARC-Record-ID']}: the payload isn't what its header says")
-            refers = number_of(head["WARC-Refers-To"]) if kind == "revisit" else None
-            yield {"page_id": number_of(head["WARC-Record-ID"]), "payload_bytes": length, "payload_digest": named, "record_type": kind, "refers_to": refers}
+def told(head: dict[str, str], payload: bytes) -> dict:
+    """What a record says of itself; a response's payload must have the digest and length it names."""
+    named, length, kind = head["WARC-Payload-Digest"].removeprefix("sha1:"), int(head["WARC-Payload-Length"]), head["WARC-Type"]
+    if kind == "response" and (digest(payload), len(payload)) != (named, length):
+        raise ValueError(f"{head['WARC-Record-ID']}: the payload isn't what its header says")
+    refers = number_of(head["WARC-Refers-To"]) if kind == "revisit" else None
+    return {"page_id": number_of(head["WARC-Record-ID"]), "payload_bytes": length, "payload_digest": named, "record_type": kind, "refers_to": refers}
+
+
+def scanned(folder: str, bundle: str) -> Iterator[dict]:
+    """What all records of a bundle say of themselves, without the index."""
+    with Frames(folder, bundle) as frames:
+        for number in range(len(frames.sizes)):
+            data, at = frames.read(number), 0
+            while at < len(data):
+                head, payload, at = parse(data, at)
+                yield told(head, payload)
 
 
 def read(index: DataFrame, folder: str) -> DataFrame:
-    """One row per record in the bundles that the index names. Tasks open bundles themselves, one at a time; only names are shuffled."""
-    names = index.select("bundle").distinct()
-    parts = max(1, min(names.count(), MOST_PARTS))  # by number: names are short, and one task for all of them would be no reader
+    """One row per record of the index, which is looked up by frame and offset and must be the one that the index names.
+
+    A bundle's index entries, BUNDLE_RECORDS at most, meet in one task; it opens bundles one at a time and reads each frame that it needs once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frames, bundle, number, data = None, None, -1, b""
         for batch in sliced(batches):
-            for name in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_pylist(list(records(get(folder, name))), READ_SCHEMA)
-
-    return names.repartition(parts).mapInArrow(run, READ)
+            rows = []
+            for row in batch.to_pylist():
+                if row["bundle"] != bundle:
+                    if frames:
+                        frames.__exit__()
+                    frames, bundle, number = Frames(folder, row["bundle"]), row["bundle"], -1
+                if row["frame"] != number:
+                    number, data = row["frame"], frames.read(row["frame"])
+                head, payload, end = parse(data, row["offset"])
+                if (number_of(head["WARC-Record-ID"]), end - row["offset"]) != (row["page_id"], row["length"]):
+                    raise ValueError(f"{bundle}, frame {number}, {row['offset']}: not the record that the index names")
+                rows.append(told(head, payload))
+            yield pa.RecordBatch.from_pylist(rows, READ_SCHEMA)
+        if frames:
+            frames.__exit__()
+
+    bundles = max(1, min(index.select("bundle").distinct().count(), MOST_PARTS))  # entries are short: by their size, one task would read all bundles
+    return index.repartition(bundles, "bundle").sortWithinPartitions("bundle", "frame", "offset").mapInArrow(run, READ)
 
 
 def archived(pages: DataFrame, least: int = 0) -> DataFrame:
-    """Write ``pages`` as archives to the shared folder and read them back: one row per page."""
+    """Write ``pages`` as archives to the shared folder and read each page's record back through the index: one row per page.
+
+    Null html is an empty payload, a null url an empty one. Repeated rows are records of their own, ties in payload go to the smallest page_id. Columns but page_id, url and
+    html are left out, whatever their names; an empty table gives no rows.
+    """
     folder = f"{scratch(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
-    index = written(pages, folder, least)
-    if index.isEmpty():
-        return pages.sparkSession.createDataFrame([], READ)
-    return read(index, folder)
+    return read(written(pages, folder, least), folder)

@@ -711,6 +711,10 @@ def test_seekable_bundles_round_trip(spark):
         assert body == (payload[r.page_id] if head["WARC-Type"] == "response" else b"") and "\n" not in head["WARC-Target-URI"]
     got = warc.read(index, folder).collect()
     assert len(got) == len(rows)
+    scan = [r for b in index.select("bundle").distinct().collect() for r in warc.scanned(folder, b.bundle)]
+    assert sorted(map(str, (r.asDict() for r in got))) == sorted(map(str, scan))
+    with pytest.raises(Exception, match="not the record that the index names"):
+        warc.read(index.withColumn("page_id", F.col("page_id") + 1), folder).collect()
     for r in got:
         if r.page_id is not None:
             own = payload[r.page_id]
@@ -720,6 +724,30 @@ def test_seekable_bundles_round_trip(spark):
     assert warc.archived(pages.where("false")).collect() == []
 
 
+def test_a_record_is_read_by_seeking(spark, monkeypatch):
+    rng = random.Random(1)
+    noise = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    pages = spark.createDataFrame([(i, f"http://h/{i}", noise(900_000 if i == 7 else 40_000)) for i in range(60)], "page_id bigint, url string, html string").coalesce(1)
+    folder = f"{scratch(spark)}/warc-seek"
+    index = warc.written(pages, folder).collect()
+    assert len({r.bundle for r in index}) == 1 and len({r.frame for r in index}) > 6
+    asked = []
+    real = warc.Frames._at
+    monkeypatch.setattr(warc.Frames, "_at", lambda self, size, start: asked.append(size) or real(self, size, start))
+    whole = sum(p for p, _ in warc.Frames(folder, index[0].bundle).sizes)
+    for r in index:
+        asked.clear()
+        head, body = warc.read_record(folder, r.bundle, r.frame, r.offset)
+        assert warc.number_of(head["WARC-Record-ID"]) == r.page_id and len(body) == (900_000 if r.page_id == 7 else 40_000)
+        assert len(asked) == 3 and sum(asked) < (whole / 2 if r.page_id == 7 else whole / 4)
+
+
+def test_pages_of_one_payload_are_spread(spark):
+    pages = spark.range(300).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 3 > 0, "").otherwise(F.col("id").cast("string")).alias("html"), F.lit(1).alias("part"))
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.archived(pages).collect()}
+    assert got == {i: ("response", None) if i % 3 == 0 or i == 1 else ("revisit", 1) for i in range(300)}
+
+
 def test_bundle_is_plain_zstandard_with_a_seek_table():
     import io
 
