@@ -6,28 +6,33 @@ threshold. The share of a sketch found in a document estimates the item's contai
 an item at or above the threshold can lack no more of its sketch than of itself, which bounds that share from below.
 So the search misses nothing, and each hit is verified by exact containment of the full shingle sets.
 
-Documents aren't shuffled: each is held against the sketches of a block of items, which is broadcast. A block is bounded
-by ``BLOCK_SHINGLES``; a larger benchmark takes several blocks, each a pass over the documents.
+Documents aren't shuffled and read once. Items are dealt by id to blocks of about ``BLOCK_SHINGLES``, which tasks build and write to the shared
+folder; only their names come to the driver. A task that reads documents loads one block at a time: of a large benchmark, each for the
+shingles of many documents, ``HELD`` at most.
 """
 
 from __future__ import annotations
 
+import io
 import math
+import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WordHashes, rolled, shingles, sliced, texts
+from millrace.llm.common import WordHashes, get, put, rolled, scratch, shingles, sliced, texts
 
 WORDS = 5
 THRESHOLD = 0.8
 SAMPLES = 8
-#: 16 bytes each in a broadcast, twice over while it is built.
+#: 32 bytes each while a block is loaded, at most twice over while it is built.
 BLOCK_SHINGLES = 1_000_000
+#: Shingles of documents that a task holds while it goes over several blocks.
+HELD = 4_000_000
 RESULT = "doc_id bigint, item_id bigint, item_shingles bigint, shared_shingles bigint, containment double"
 
 
@@ -51,9 +56,27 @@ class Sketches:
         self.hit_least = np.maximum(1, np.array(k, np.int64) - (self.sizes - self.least))
         self.sketch, self.sketch_of = self._index([s[:n] for s, n in zip(sets, k, strict=True)])
         self.full, self.full_of = self._index(sets)
+        self._mark()
+
+    def _mark(self) -> None:
         self.bits = np.zeros(1 << max(10, int(len(self.sketch) * 16).bit_length()), bool)
         self.bits[self._slot(self.sketch)] = True
 
+    def packed(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, ids=np.array(self.ids, np.int64), **{name: getattr(self, name) for name in PACKED})
+        return out.getvalue()
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Sketches:
+        made = cls.__new__(cls)
+        with np.load(io.BytesIO(data)) as arrays:
+            made.ids = arrays["ids"].tolist()
+            for name in PACKED:
+                setattr(made, name, arrays[name])
+        made._mark()
+        return made
+
     @staticmethod
     def _index(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         hashes = np.concatenate(sets) if sets else np.empty(0, np.uint64)
@@ -86,71 +109,111 @@ class Sketches:
         return list(found.values())
 
 
-def blocks(items: DataFrame, words: int = WORDS, most: int = BLOCK_SHINGLES) -> Iterator[dict[int, list[np.ndarray]]]:
-    """Items as shingle sets, one for each text, in blocks of bounded size; an item is read once, by a stream of the driver's."""
-    hashes, block, size = WordHashes(), {}, 0
-    for row in items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).dropna().toLocalIterator():
-        found = hashes.of(row["text"].encode().lower().split())
-        if len(found) < words:
-            continue
-        if size >= most and row["item_id"] not in block:
-            yield block
-            block, size = {}, 0
-        made = shingles(found, words)
-        block.setdefault(row["item_id"], []).append(made)
-        size += len(made)
-    if block:
-        yield block
-
-
-def searchers(docs: DataFrame, items: DataFrame, words: int, threshold: float, most: int) -> Iterator:
-    """For each block of items a function from a batch's texts to what each text contains."""
-    ordered = items.select("item_id", "text").distinct().orderBy("item_id", "text")
-    for block in blocks(ordered, words, most):
-        shared = docs.sparkSession.sparkContext.broadcast(Sketches(block, threshold))
-
-        def search(column: pa.Array, hashes: WordHashes, shared=shared) -> Iterator[list[tuple[int, int, int]]]:
-            for text in texts(column):
+PACKED = ["sizes", "least", "hit_least", "sketch", "sketch_of", "full", "full_of"]
+
+
+def blocks(items: DataFrame, folder: str, words: int, threshold: float, most: int) -> list[str]:
+    """Write the items to blocks in ``folder``; the names of those that have any."""
+    known = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).dropna().distinct()
+    total = known.agg(F.sum(F.size(F.split("text", " ")))).first()[0] or 0
+    number = max(1, -(-total // most))
+
+    def build(table: pa.Table) -> pa.Table:
+        hashes, sets = WordHashes(), {}
+        rows = sorted(zip(table.column("item_id").to_pylist(), (t for chunk in table.column("text").chunks for t in texts(chunk)), strict=True))
+        for item, text in rows:
+            found = hashes.of(text.lower().split())
+            if len(found) >= words:
+                sets.setdefault(item, []).append(shingles(found, words))
+        name = f"{uuid.uuid4().hex}.npz"
+        if sets:
+            put(folder, name, Sketches(sets, threshold).packed())
+        return pa.table({"name": pa.array([name] if sets else [], pa.string())})
+
+    dealt = known.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(number)))
+    return sorted(r["name"] for r in dealt.groupBy("block").applyInArrow(build, "name string").collect())
+
+
+class Loaded:
+    """The block that a Python worker has loaded last."""
+
+    name, block = "", None
+
+    @classmethod
+    def of(cls, folder: str, name: str) -> Sketches:
+        if cls.name != f"{folder}/{name}":
+            cls.block = None
+            cls.block, cls.name = Sketches.unpacked(get(folder, name)), f"{folder}/{name}"
+        return cls.block
+
+
+Hits = list[tuple[int, int, int]]
+
+
+def searched(folder: str, names: list[str], words: int, column: int, held: int = HELD) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, list[Hits]]]]:
+    """A function that gives batches together with what each of their texts contains."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[Hits]]]:
+        hashes, waiting, size = WordHashes(), [], 0
+
+        def found() -> Iterator[tuple[pa.RecordBatch, list[Hits]]]:
+            hits: list[list[Hits]] = [[[] for _ in sets] for _, sets in waiting]
+            for name in names:
+                block = Loaded.of(folder, name)
+                for (_, sets), own in zip(waiting, hits, strict=True):
+                    for place, document in enumerate(sets):
+                        if len(document):
+                            own[place] += block.search(document)
+            yield from ((batch, own) for (batch, _), own in zip(waiting, hits, strict=True))
+
+        for batch in sliced(batches):
+            sets = []
+            for text in texts(batch.column(column)):
                 own = hashes.of(text.lower().split()) if text else ()
-                yield shared.value.search(np.unique(rolled(own, words))) if len(own) >= words else []
+                sets.append(np.unique(rolled(own, words)) if len(own) >= words else np.empty(0, np.uint64))
+                size += len(sets[-1])
+            waiting.append((batch, sets))
+            if len(names) <= 1 or size >= held:
+                yield from found()
+                waiting, size = [], 0
+        if waiting:
+            yield from found()
 
-        yield search
+    return run
 
 
-def find_contained(docs: DataFrame, items: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, most: int = BLOCK_SHINGLES) -> DataFrame:
+def find_contained(docs: DataFrame, items: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, most: int = BLOCK_SHINGLES, held: int = HELD) -> DataFrame:
     """Pairs of a document and a test item at least ``threshold`` of whose word shingles it holds.
 
-    ``docs`` has doc_id and text, ``items`` item_id and text. Words are lower-cased A-Z. Items of fewer than ``words`` words
-    can't be told from chance and are never found; null and empty texts hold nothing, and items without id or text are left out.
-    An item_id of several texts is found if all of them together are, or else any one of them, whose counts the row then has. Repeated documents are found each; a null doc_id is found too. No documents or no items: no pairs.
+    ``docs`` has doc_id and text, ``items`` item_id and text; other columns aren't looked at, whatever their names. Words are lower-cased A-Z. Items of fewer than ``words`` words
+    can't be told from chance and are never found; null and empty texts hold nothing, and items without id or text are left out. Texts of any length are searched whole.
+    An item_id of several texts is found if all of them together are, or else any one of them, whose counts the row then has. Repeated documents are found
+    each, repeated items once; a null doc_id is found too. No documents or no items: no pairs.
     """
-    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = docs.sparkSession.createDataFrame([], RESULT)
-    for search in searchers(docs, items, words, threshold, most):
+    folder = f"{scratch(docs.sparkSession)}/items-{uuid.uuid4().hex}"
+    search = searched(folder, blocks(items, folder, words, threshold, most), words, 1, held)
 
-        def run(batches: Iterator[pa.RecordBatch], search=search) -> Iterator[pa.RecordBatch]:
-            hashes = WordHashes()
-            for batch in sliced(batches):
-                hits = zip(batch.column(0).to_pylist(), search(batch.column(1), hashes), strict=True)
-                rows = [(doc_id, item, size, n, n / size) for doc_id, own in hits for item, size, n in own]
-                yield pa.RecordBatch.from_pylist([dict(zip(SCHEMA.names, r, strict=True)) for r in rows], SCHEMA)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in search(batches):
+            rows = [(doc_id, item, size, n, n / size) for doc_id, own in zip(batch.column(0).to_pylist(), found, strict=True) for item, size, n in own]
+            yield pa.RecordBatch.from_pylist([dict(zip(SCHEMA.names, r, strict=True)) for r in rows], SCHEMA)
 
-        found = found.unionByName(narrow.mapInArrow(run, RESULT))
-    return found
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, RESULT)
 
 
 SCHEMA = pa.schema([(part.split()[0], pa.float64() if "double" in part else pa.int64()) for part in RESULT.split(", ")])
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, most: int = BLOCK_SHINGLES) -> DataFrame:
-    """The rows of ``docs`` whose text holds no test item, with all their columns. Nothing is shuffled or joined."""
-    place = docs.columns.index("text")
-    for search in searchers(docs, items, words, threshold, most):
+def decontaminate(docs: DataFrame, items: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, most: int = BLOCK_SHINGLES, held: int = HELD) -> DataFrame:
+    """The rows of ``docs`` whose text holds no test item, with all their columns, whatever their names. Nothing is shuffled or joined.
+
+    What is found is as in find_contained(): null and empty texts stay, rows that repeat stay or go alike, an empty table gives no rows, and no items take nothing away.
+    """
+    folder = f"{scratch(docs.sparkSession)}/items-{uuid.uuid4().hex}"
+    search = searched(folder, blocks(items, folder, words, threshold, most), words, docs.columns.index("text"), held)
 
-        def run(batches: Iterator[pa.RecordBatch], search=search) -> Iterator[pa.RecordBatch]:
-            hashes = WordHashes()
-            for batch in sliced(batches):
-                yield batch.filter(pa.array([not own for own in search(batch.column(place), hashes)], pa.bool_()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in search(batches):
+            yield batch.filter(pa.array([not own for own in found], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.mapInArrow(run, docs.schema)

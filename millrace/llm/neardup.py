@@ -41,7 +41,7 @@ SKETCH_BITS = 64 * SKETCH_LONGS
 MOST_ODD = 128
 PIVOT_ROUNDS = 2
 #: Nodes of a block's two sides, when what the pivots left over is tested.
-BLOCK_ONE, BLOCK_TWO = 128, 512
+BLOCK_ONE, BLOCK_TWO = 64, 256
 #: Pairs that share a pivot's text in one task; a pivot with more of them is salted.
 PIVOT_PAIRS = 512
 #: Samples of a wide sketch and its bits, as powers of two.

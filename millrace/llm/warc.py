@@ -20,11 +20,12 @@ from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import PARTS, scratch, sliced, staged
+from millrace.llm.common import PARTS, put, scratch, sliced, staged
 
 FRAME_BYTES, BUNDLE_BYTES, BUNDLE_RECORDS, LEVEL = 256 << 10, 8 << 20, 20_000, 3
 #: Tasks that read, at most.
@@ -132,8 +133,6 @@ class Frames:
     """The frames of a stored bundle: its end is read once, then each frame that is asked for."""
 
     def __init__(self, folder: str, name: str):
-        from pyarrow import fs
-
         store, path = fs.FileSystem.from_uri(folder)
         self._file = store.open_input_file(f"{path}/{name}")
         size = self._file.size()
@@ -156,17 +155,6 @@ class Frames:
         return unpacked(self._at(packed, self.starts[number]), full)
 
 
-def put(folder: str, name: str, data: bytes) -> None:
-    """Write a file to any store that Arrow reaches, under its name only once it is whole."""
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(folder)
-    store.create_dir(path, recursive=True)
-    with store.open_output_stream(f"{path}/.{name}", compression=None) as out:
-        out.write(data)
-    store.move(f"{path}/.{name}", f"{path}/{name}")
-
-
 def read_record(folder: str, bundle: str, number: int, offset: int) -> tuple[dict[str, str], bytes]:
     """Headers and payload of an indexed record: the bundle's end and the record's frame are read, nothing else."""
     with Frames(folder, bundle) as frames:

@@ -208,8 +208,8 @@ def test_containment_equals_brute_force(spark):
             test = grams(item, 5)
             if len(words(item)) >= 5 and len(own & test) >= 0.8 * len(test):
                 expected.add((d, i, len(test), len(own & test)))
-    for most in (10**6, 60):
-        got = decontam.find_contained(left, right, most=most).collect()
+    for most, held in ((10**6, 10**6), (60, 10**6), (60, 700)):
+        got = decontam.find_contained(left, right, most=most, held=held).collect()
         assert {(r.doc_id, r.item_id, r.item_shingles, r.shared_shingles) for r in got} == expected and len(got) == len(expected)
     assert len({d for d, *_ in expected}) > 20
     kept = [r.doc_id for r in decontam.decontaminate(left.withColumn("doc", F.lit(1)), right, most=60).collect()]
