@@ -65,7 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op2_url_filter": sql.url_filter(urlfilter.RULES, urlfilter.HREF, urlfilter.STEPS, urlfilter.DAMPING, urlfilter.THRESHOLD),
+    "op2_url_filter": sql.url_filter(urlfilter.RULES, urlfilter.HIDDEN, urlfilter.HREF, urlfilter.STEPS, urlfilter.DAMPING, urlfilter.THRESHOLD),
     "op3_decontaminate": sql.DECONTAMINATION,
     "op6_near_dedup": sql.NEAR_DEDUP,
     "op7_chat": sql.CHAT,

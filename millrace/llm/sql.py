@@ -83,12 +83,12 @@ z as (select s.lang, coalesce(a.passed, b.passed) passed from s left join p a on
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and (passed is null or place >= passed) kept from f left join z on z.lang is not distinct from f.lang"""
 
 
-def url_filter(rules: list[tuple[str, str]], href: str, steps: int, damping: float, threshold: float) -> str:
+def url_filter(rules: list[tuple[str, str]], hidden: str, href: str, steps: int, damping: float, threshold: float) -> str:
     """Rules by a table of them; propagation with one query per step."""
     low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     host = lambda c: f"coalesce({low.format(f"regexp_extract({c}, '(?s)^.*?://([^/?#]*)', 1)")}, '')"
     values = ", ".join(f"('{verdict}', '{rule}', '{rule[: rule.find('/')]}', '{rule[rule.find('/') :]}')" for verdict, rule in rules)
-    quoted = href.replace("'", "''")
+    quoted, unseen = href.replace("'", "''"), hidden.replace("'", "''")
     step = lambda i: f"""s{i} as (select kind, h, sum(s) s from (select kind, h, {1 - damping} * s s from s0 union all
         select e.kind, e.dst, {damping} * s.s * e.w from s{i - 1} s join e on e.kind = s.kind and e.src = s.h) group by 1, 2)"""
     return f"""
@@ -96,7 +96,7 @@ with rules(verdict, rule, rh, rp) as (values {values}),
 p as (select page_id, {host("url")} h, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') path, html from pages),
 j as (select page_id, h, path, max_by(rule, length(rule)) rule, max_by(verdict, length(rule)) verdict
     from p left join rules on (h = rh or ends_with(h, '.' || rh)) and starts_with(path, rp) group by all),
-l as (select h src, {host("u")} dst from (select h, unnest(regexp_extract_all(html, '{quoted}', 1)) u from p)),
+l as (select h src, {host("u")} dst from (select h, ':' || unnest(regexp_extract_all(regexp_replace(html, '{unseen}', ' ', 'g'), '{quoted}', 1)) u from p)),
 n as (select src, dst, count(*) n from l where src <> '' and dst <> '' and src <> dst group by 1, 2),
 b as (select 't' kind, src, dst, n from n union all select 'd', dst, src, n from n),
 e as (select kind, src, dst, n / sum(n) over (partition by kind, src) w from b),
@@ -104,5 +104,6 @@ f as (select h, avg((verdict is not distinct from 'allow')::int) a, avg((verdict
 s0 as (select 't' kind, h, a / (select sum(a) from f) s from f where a > 0 union all select 'd', h, b / (select sum(b) from f) from f where b > 0),
 {", ".join(step(i) for i in range(1, steps + 1))},
 z as (select kind, h, s from s{steps} where (select count(*) from e) > 0 union all select kind, h, s from s0 where (select count(*) from e) = 0),
-v as (select h, sum(case when kind = 'd' then s else 0 end) d, sum(s) a from z group by 1)
+y as (select kind, h, s / sum(s) over (partition by kind) s from z),
+v as (select h, sum(case when kind = 'd' then s else 0 end) d, sum(s) a from y group by 1)
 select page_id, j.h as "host", path, rule, coalesce(verdict, case when d >= {threshold} * a then 'block' end, 'allow') verdict from j left join v using (h)"""

@@ -132,25 +132,27 @@ def linked_pages(spark):
     return spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("host", F.lit("clash"))
 
 
+def exact_scores(hosts, edges, seeds):
+    """Personalised PageRank by solving for it, what reaches hosts without links going back to the seeds."""
+    place = {h: i for i, h in enumerate(hosts)}
+    a = np.zeros((len(hosts), len(hosts)))
+    for (src, dst), n in edges.items():
+        a[place[src], place[dst]] += n
+    first = np.array([seeds.get(h, 0.0) for h in hosts])
+    if not first.sum():
+        return first
+    out = a.sum(axis=1, keepdims=True)
+    share = np.where(out > 0, a / np.maximum(out, 1), first)
+    return np.linalg.solve(np.eye(len(hosts)) - urlfilter.DAMPING * share.T, (1 - urlfilter.DAMPING) * first)
+
+
 def test_propagation_equals_dense_arithmetic(spark):
     pages = linked_pages(spark)
     verdicts = {r.page_id: r.verdict for r in urlfilter.filtered(pages).collect()}
     edges = {(r.src, r.dst): r.n for r in urlfilter.links(pages).collect()}
     hosts = sorted({h for e in edges for h in e})
-    a = np.zeros((len(hosts), len(hosts)))
-    for (src, dst), n in edges.items():
-        a[hosts.index(src), hosts.index(dst)] = n
     assert edges["d.net", "bad.com"] == 2 and edges["b.net", "c.net"] == 2 and ("b.net", "b.net") not in edges
-
-    def ranks(matrix, seed):
-        share = matrix / np.maximum(matrix.sum(axis=1, keepdims=True), 1)
-        first = np.array([float(h == seed) for h in hosts])
-        scores = first
-        for _ in range(urlfilter.STEPS):
-            scores = urlfilter.DAMPING * scores @ share + (1 - urlfilter.DAMPING) * first
-        return scores
-
-    trust, distrust = ranks(a, "good.org"), ranks(a.T, "bad.com")
+    trust, distrust = exact_scores(hosts, edges, {"good.org": 1.0}), exact_scores(hosts, {e[::-1]: n for e, n in edges.items()}, {"bad.com": 1.0})
     for page, host in ((3, "b.net"), (4, "c.net"), (5, "d.net"), (7, "f.com")):
         i = hosts.index(host)
         assert verdicts[page] == ("block" if trust[i] + distrust[i] > 0 and distrust[i] >= 0.5 * (trust[i] + distrust[i]) else "allow")
@@ -160,8 +162,9 @@ def test_propagation_equals_dense_arithmetic(spark):
 
 def test_links_without_a_scheme(spark):
     html = """<a class=x HREF="//B.net/q">b</a><a href='//b.net://c'><a href=//c.net?x><a href="///d.net"><a href="/e//f.net"><a data-href="//g.net" href="https://h.net"><a href=" //a.net/">"""
-    pages = spark.createDataFrame([(1, "http://a.net/", html), (2, None, html), (3, "http://a.net/", None)], "page_id bigint, url string, html string")
-    assert {(r.src, r.dst): r.n for r in urlfilter.links(pages).collect()} == {("a.net", "b.net"): 1, ("a.net", "b.net:"): 1, ("a.net", "c.net"): 1, ("a.net", "h.net"): 1}
+    hidden = """<!-- <a href="//i.net"> --><script>"<a href='//i.net'>"</script><a xhref="//i.net"><a title=x data-href=//i.net><b href="//i.net"><A\nrel='x'href='http://j.net'><!-- <a href="//i.net">"""
+    pages = spark.createDataFrame([(1, "http://a.net/", html + hidden), (2, None, html), (3, "http://a.net/", None)], "page_id bigint, url string, html string")
+    assert {(r.src, r.dst): r.n for r in urlfilter.links(pages).collect()} == {("a.net", "b.net"): 1, ("a.net", "b.net:"): 1, ("a.net", "c.net"): 1, ("a.net", "h.net"): 1, ("a.net", "j.net"): 1}
 
 
 def test_propagation_goes_on_to_the_end_of_a_chain(spark):
@@ -170,18 +173,41 @@ def test_propagation_goes_on_to_the_end_of_a_chain(spark):
     assert len(got) == 13 and {r.verdict for r in got} == {"block"}
 
 
+def test_a_thousand_hosts_with_a_hub_and_dead_ends(spark, tmp_path):
+    """Pages of a generated link graph: the query's verdicts equal exact scores, and its SQL."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng = random.Random(21)
+    name = lambda i: f"h{i}.{('org', 'com', 'net')[i % 3]}"
+    rows, edges = [], Counter()
+    for i in range(1000):
+        path = "/de/x" if i % 30 == 1 else "/"
+        to = [] if i % 7 == 0 else [rng.randrange(1000) for _ in range(rng.randint(1, 4))] + [5] * (rng.random() < 0.5)  # every seventh is a dead end, 5 a hub
+        to += range(0, 1000, 2) if i == 5 else []
+        for j in to:
+            edges[name(i), name(j)] += i != j
+        rows.append((i, f"https://{name(i)}{path}", "".join(f'<p><a class="y" href="{rng.choice(["http:", ""])}//{name(j)}/">z</a>' for j in to)))
+    hosts = [name(i) for i in range(1000)]
+    good, bad = [h for h in hosts if h.endswith(".org")], [name(i) for i in range(1000) if i % 30 == 1]
+    edges = {e: n for e, n in edges.items() if n}
+    trust, distrust = exact_scores(hosts, edges, {h: 1 / len(good) for h in good}), exact_scores(hosts, {e[::-1]: n for e, n in edges.items()}, {h: 1 / len(bad) for h in bad})
+    pq.write_table(pa.table(dict(zip(("page_id", "url", "html"), map(list, zip(*rows, strict=True)), strict=True))), tmp_path / "pages.parquet")
+    got = {r.host: r.verdict for r in urlfilter.filtered(spark.read.parquet(f"{tmp_path}/pages.parquet")).collect()}
+    assert {(r.src, r.dst): r.n for r in urlfilter.links(spark.read.parquet(f"{tmp_path}/pages.parquet")).collect()} == edges
+    decided = [h for h in hosts if not h.endswith(".org") and h not in bad]
+    sure = {h: "block" if d > t else "allow" for h, t, d in zip(hosts, trust, distrust, strict=True) if h in set(decided) and abs(t - d) > 1e-5 * (t + d)}
+    assert {h: got[h] for h in sure} == sure and len(sure) > 600 and min(Counter(sure.values()).values()) > 30
+    compare(spark, queries.QUERIES["op2_url_filter"], queries.ORACLE_SQL["op2_url_filter"], str(tmp_path))
+
+
 def test_propagation_converges(spark):
     edges = {(f"c{i}", f"c{i + 1}"): 1 for i in range(10)} | {("c10", "c7"): 2, ("c3", "x"): 3, ("x", "c3"): 1, ("c10", "bad"): 1}
     hosts = sorted({h for e in edges for h in e})
     got = {r.host: r for r in urlfilter.propagated(spark.createDataFrame([("c0", 1.0, 0.0), ("bad", 0.0, 1.0)], "host string, trust double, distrust double"), spark.createDataFrame([(*e, n) for e, n in edges.items()], "src string, dst string, n bigint")).collect()}
-    a = np.zeros((len(hosts), len(hosts)))
-    for (src, dst), n in edges.items():
-        a[hosts.index(src), hosts.index(dst)] = n
-    for kind, matrix, seed in (("trust", a, "c0"), ("distrust", a.T, "bad")):
-        share = matrix / np.maximum(matrix.sum(axis=1, keepdims=True), 1)
-        first = np.array([float(h == seed) for h in hosts])
-        exact = np.linalg.solve(np.eye(len(hosts)) - urlfilter.DAMPING * share.T, (1 - urlfilter.DAMPING) * first)
-        assert [got[h][kind] for h in hosts] == pytest.approx(exact.tolist(), rel=1e-4)
+    for kind, own, seed in (("trust", edges, "c0"), ("distrust", {e[::-1]: n for e, n in edges.items()}, "bad")):
+        exact = exact_scores(hosts, own, {seed: 1.0})
+        assert [got[h][kind] for h in hosts] == pytest.approx(exact.tolist(), rel=1e-4) and exact.sum() == pytest.approx(1)
 
 
 # decontamination
