@@ -6,9 +6,17 @@ JOB is a ``Job``, or a function that makes one. Exit status is 0 only if the res
 from __future__ import annotations
 
 import argparse
+import atexit
+import hashlib
 import importlib
+import importlib.util
+import io
+import shutil
 import sys
+import tempfile
 import time
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -23,6 +31,25 @@ def load(name: str) -> Job:
     return found if isinstance(found, Job) else found()
 
 
+def ship(spark: SparkSession, module: str) -> None:
+    """Send this package and the job's module (or the package it's in) to the executors, whose Python may have neither."""
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for top in sorted({(__package__ or "millrace").partition(".")[0], module.partition(".")[0]}):
+            found = importlib.util.find_spec(top)
+            if found and found.submodule_search_locations:
+                for root in map(Path, found.submodule_search_locations):
+                    for file in sorted(root.rglob("*.py")):
+                        archive.write(file, f"{top}/{file.relative_to(root)}")
+            elif found and found.origin and found.origin.endswith(".py"):
+                archive.write(found.origin, Path(found.origin).name)
+    folder = tempfile.mkdtemp(prefix="millrace-job-")  # executors fetch from there as long as the application runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = Path(folder, f"job-{hashlib.sha256(packed.getvalue()).hexdigest()[:16]}.zip")
+    path.write_bytes(packed.getvalue())
+    spark.sparkContext.addPyFile(str(path))
+
+
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="millrace", description=__doc__)
     parser.add_argument("-i", "--input", required=True, help="text file or folder")
@@ -35,6 +62,7 @@ def main(args: list[str] | None = None) -> int:
     try:
         spark = (builder.master(options.master) if options.master else builder).getOrCreate()
         began = time.monotonic()
+        ship(spark, options.job.partition(":")[0])
         load(options.job).run_to_text(read_text(spark, options.input), options.output, not options.parts)
     except Exception as error:  # the exit status must say so, whatever went wrong
         print(f"failed: {error}", file=sys.stderr)

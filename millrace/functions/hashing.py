@@ -6,7 +6,8 @@ Only needed where placement itself is the result; exchanges use Spark's hash.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,11 +59,40 @@ def murmur2_bytes(data: bytes, signed_tail: bool = True) -> int:
     return _signed(h ^ h >> 15)
 
 
-@F.pandas_udf(T.IntegerType())
-def murmur2_string(values: pd.Series) -> pd.Series:
+def murmur2_strings(values: pa.Array) -> np.ndarray:
+    """Signed hashes of all strings of an array, a word of each at a time over those that are long enough; of nulls, what an empty string has."""
+    values = pc.fill_null(values, "").cast(pa.large_binary())
+    offsets = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+    data = np.frombuffer(values.buffers()[2] or b"", np.uint8)
+    starts, lengths = offsets[:-1], np.diff(offsets)
+    order = np.argsort(-lengths, kind="stable")
+    starts, lengths = starts[order], lengths[order]
+    h = (np.uint64(SEED) ^ lengths.astype(np.uint64)) & np.uint64(MASK)
+    times = lambda x: x * np.uint64(MULTIPLIER) & np.uint64(MASK)
+    full = lengths // 4
+    for word in range(int(full[0]) if len(full) else 0):
+        count = np.searchsorted(-full, -word, "left")  # those with more words than this
+        at = starts[:count] + 4 * word
+        k = sum(data[at + i].astype(np.uint64) << np.uint64(8 * i) for i in range(4))
+        k = times(k)
+        h[:count] = times(h[:count]) ^ times(k ^ (k >> np.uint64(SHIFT)))
+    rest = lengths % 4
+    for place in range(3):
+        has = np.flatnonzero(rest > place)
+        tail = data[starts[has] + 4 * full[has] + place].astype(np.int8).astype(np.int64)  # signed, as char is on x86
+        h[has] ^= (tail << (8 * place)).astype(np.uint64) & np.uint64(MASK)
+    h = np.where(rest > 0, times(h), h)
+    h = times(h ^ (h >> np.uint64(13)))
+    h ^= h >> np.uint64(15)
+    out = np.empty(len(h), np.int32)
+    out[order] = h.astype(np.uint32).view(np.int32)
+    return out
+
+
+@F.arrow_udf(T.IntegerType())
+def murmur2_string(values: pa.Array) -> pa.Array:
     """Signed hash of a string's UTF-8 bytes, tail bytes signed; null stays null."""
-    made = [None if v is None else murmur2_bytes(v.encode()) for v in values]
-    return pd.Series(made, dtype="Int32")
+    return pa.array(murmur2_strings(values), pa.int32(), mask=values.is_null().to_numpy(zero_copy_only=False))
 
 
 def tuple_hash(*leaves: Column) -> Column:

@@ -16,38 +16,55 @@ from pyspark.sql import types as T
 Batches = Iterator[pa.RecordBatch]
 
 
-def fold(df: DataFrame, keys: list[str | Column], how: str, value: str | Column | None = None, name: str = "second") -> DataFrame:
-    """Fold the values of each key: sum, count, min, max, concat or distinct.
-
-    All are built-in aggregates, so Catalyst combines on the map side. ``sum`` is BIGINT. ``concat``
-    sorts the values, since records of a key come in no defined order; it holds a key's values in
-    one row, as its result does. ``distinct`` keeps the keys alone.
-    """
-    column = F.col(value) if isinstance(value, str) else value
+def fold(df: DataFrame, keys: list[str | Column], how: str, value: str | Column | None = None, name: str = "second", separator: str = "") -> DataFrame:
+    """Fold the values of each key: sum, count, min, max, concat, union or distinct; ``folds`` has their meaning. ``distinct`` keeps the keys alone."""
     if how == "distinct":
         return df.select(*keys).distinct()
-    if how == "count":
-        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
-    if column is None:
-        raise ValueError(f"{how} needs a value")
-    folds: dict[str, Callable[[Column], Column]] = {
-        "sum": lambda c: F.sum(c.cast("bigint")),
-        "min": F.min,
-        "max": F.max,
-        "concat": lambda c: F.concat_ws("", F.array_sort(F.collect_list(c))),
-    }
-    return df.groupBy(*keys).agg(folds[how](column).alias(name))
+    return folds(df, keys, {name: (how, value)}, separator)
+
+
+def folds(df: DataFrame, keys: list[str | Column], wanted: dict[str, tuple[str, str | Column | None]], separator: str = "") -> DataFrame:
+    """Several folds at once, by name: (how, value).
+
+    All are built-in aggregates, so Catalyst combines on the map side. ``sum`` is BIGINT. ``concat`` joins
+    the values in their order, since records of a key come in no defined one; ``union`` does so with each value once.
+    Both hold a key's values in one row, as their result does: for keys of unbounded size group by ``part_of`` too.
+    """
+
+    def made(how: str, value: str | Column | None) -> Column:
+        column = F.col(value) if isinstance(value, str) else value
+        if how == "count":
+            return F.count(F.lit(1))
+        if column is None:
+            raise ValueError(f"{how} needs a value")
+        joined = lambda values: F.array_join(F.array_sort(values).cast("array<string>"), separator)
+        by_name: dict[str, Callable[[Column], Column]] = {
+            "sum": lambda c: F.sum(c.cast("bigint")), "min": F.min, "max": F.max,
+            "concat": lambda c: joined(F.collect_list(c)), "union": lambda c: joined(F.collect_set(c)),
+        }
+        return by_name[how](column)
 
+    return df.groupBy(*keys).agg(*(made(*w).alias(name) for name, w in wanted.items()))
 
-def sorted_stream(df: DataFrame, partitions: int, *keys: str) -> DataFrame:
-    """Each key in one partition, each partition sorted by key; Spark spills and merges."""
-    return df.repartition(partitions, *keys).sortWithinPartitions(*keys)
 
+def part_of(value: str | Column, parts: int) -> Column:
+    """Deals the values of a key to ``parts`` groups, so that a fold of it is in that many rows of bounded size."""
+    return F.pmod(F.xxhash64(value), F.lit(parts))
 
-def reduce_stream(df: DataFrame, keys: list[str], reducer: Callable[[Batches], Batches], schema: str | T.StructType, partitions: int) -> DataFrame:
+
+def sorted_stream(df: DataFrame, partitions: int, *keys: str, then: tuple[str, ...] = ()) -> DataFrame:
+    """Each key in one partition, each partition sorted by key (and within it by ``then``); Spark spills and merges."""
+    return df.repartition(partitions, *keys).sortWithinPartitions(*keys, *then)
+
+
+def reduce_stream(
+    df: DataFrame, keys: list[str], reducer: Callable[[Batches], Batches], schema: str | T.StructType, partitions: int,
+    combiner: Callable[[Batches], Batches] | None = None, then: tuple[str, ...] = (),
+) -> DataFrame:
     """Call ``reducer`` once per partition that has rows, over its whole key-sorted stream.
 
-    The reducer may keep state across keys. It sees batches, never the partition at once.
+    The reducer may keep state across keys. It sees batches, never the partition at once. A ``combiner`` makes fewer records of
+    the same type before they are sent: of a frequent key one or a few a task.
     """
 
     def run(batches: Batches) -> Batches:
@@ -56,7 +73,36 @@ def reduce_stream(df: DataFrame, keys: list[str], reducer: Callable[[Batches], B
         if first is not None:
             yield from reducer(chain([first], full))
 
-    return sorted_stream(df, partitions, *keys).mapInArrow(run, schema)
+    sent = df.mapInArrow(combiner, df.schema) if combiner else df
+    return sorted_stream(sent, partitions, *keys, then=then).mapInArrow(run, schema)
+
+
+def combined_sums(key: str, value: str, most: int = 200_000) -> Callable[[Batches], Batches]:
+    """A combiner for sums: holds about ``most`` keys at a time."""
+
+    def combiner(batches: Batches) -> Batches:
+        held: list[pa.Table] = []
+        rows = 0
+        kind: pa.Schema | None = None
+
+        def summed() -> pa.Table:
+            table = pa.concat_tables(held).group_by(key).aggregate([(value, "sum")])
+            return pa.table([table.column(key), table.column(f"{value}_sum")], schema=kind)
+
+        for batch in batches:
+            kind = batch.schema
+            held.append(pa.Table.from_batches([batch]))
+            rows += batch.num_rows
+            if rows >= 2 * most:
+                held = [summed()]
+                rows = held[0].num_rows
+                if rows >= most:
+                    yield from held.pop().to_batches()
+                    rows = 0
+        if held:
+            yield from summed().to_batches()
+
+    return combiner
 
 
 def runs(batches: Batches, key: str) -> Iterator[tuple[Any, Iterator[pa.RecordBatch]]]:
@@ -121,6 +167,23 @@ def sum_runs(key: str, value: str, name: str) -> Callable[[Batches], Batches]:
     return reducer
 
 
+def rank_runs(keys: list[str], name: str) -> Callable[[Batches], Batches]:
+    """A reducer that numbers the records of each key from 1, in the order of the stream; the key is the first of ``keys``, all are kept."""
+
+    def reducer(batches: Batches) -> Batches:
+        open_key: pa.Array | None = None
+        before = 0
+        for batch in batches:
+            column, edges = batch.column(keys[0]), _edges(batch.column(keys[0]))
+            place = np.arange(batch.num_rows) - np.repeat(edges[:-1], np.diff(edges)) + 1
+            if open_key is not None and column[0].as_py() == open_key[0].as_py():
+                place[: edges[1]] += before
+            open_key, before = column.slice(batch.num_rows - 1), int(place[-1])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(place, pa.int32())], [*keys, name])
+
+    return reducer
+
+
 def _batch(key: str, keys: pa.Array, name: str, sums: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([keys, pa.array(sums, pa.int64())], [key, name])
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from millrace.functions.hashing import murmur2_int, murmur2_string
 from millrace.functions.records import pair
 from millrace.operators import exchange, mappers, reducers
 from millrace.operators.job import Job
@@ -32,8 +33,8 @@ def word_count(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def word_count_stream(spark: SparkSession, folder: str) -> DataFrame:
-    ones = _tokens(spark, folder).select("word", F.lit(1).alias("one"))
-    return reducers.reduce_stream(ones, ["word"], reducers.sum_runs("word", "one", "n"), "word string, n bigint", _partitions(spark))
+    ones = _tokens(spark, folder).select("word", F.lit(1).cast("bigint").alias("one"))
+    return reducers.reduce_stream(ones, ["word"], reducers.sum_runs("word", "one", "n"), "word string, n bigint", _partitions(spark), reducers.combined_sums("word", "one"))
 
 
 def word_count_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -45,8 +46,10 @@ def split_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def fold_concat(spark: SparkSession, folder: str) -> DataFrame:
-    postings = _tokens(spark, folder).select("word", "doc_id").distinct()
-    return postings.groupBy("word").agg(F.concat_ws(",", F.array_sort(F.collect_list("doc_id")).cast("array<string>")).alias("docs"))
+    """Postings in one row of a word, as the SQL has them; a corpus-wide job adds ``part_of`` to the keys."""
+    words = F.array_distinct(F.split("text", mappers.SPACE))
+    postings = read_table(spark, folder, "documents").select("doc_id", F.explode(words).alias("word")).where("word <> ''")
+    return reducers.fold(postings, ["word"], "union", "doc_id", "docs", ",")
 
 
 def fold_string(spark: SparkSession, folder: str) -> DataFrame:
@@ -54,7 +57,7 @@ def fold_string(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def fold_min_max(spark: SparkSession, folder: str) -> DataFrame:
-    return _tokens(spark, folder).groupBy("doc_id").agg(F.min("word").alias("min_word"), F.max("word").alias("max_word"))
+    return reducers.folds(_tokens(spark, folder), ["doc_id"], {"min_word": ("min", "word"), "max_word": ("max", "word")})
 
 
 def fold_int_key(spark: SparkSession, folder: str) -> DataFrame:
@@ -83,8 +86,8 @@ def complete_job_ratio(spark: SparkSession, folder: str) -> DataFrame:
 
 def sorted_stream_rank(spark: SparkSession, folder: str) -> DataFrame:
     orders = read_table(spark, folder, "orders").select("o_custkey", "o_orderkey")
-    ranked = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    return orders.select("o_custkey", "o_orderkey", F.row_number().over(ranked).alias("pos"))
+    ranked = reducers.rank_runs(["o_custkey", "o_orderkey"], "pos")
+    return reducers.reduce_stream(orders, ["o_custkey"], ranked, "o_custkey bigint, o_orderkey bigint, pos int", _partitions(spark), then=("o_orderkey",))
 
 
 def sorted_stream_state(spark: SparkSession, folder: str) -> DataFrame:
@@ -128,24 +131,25 @@ def project_tuple(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def compare_fold(spark: SparkSession, folder: str) -> DataFrame:
-    """Comparisons and addition on integers and strings, concatenation on strings."""
+    """All comparisons of integers and strings, addition of integers, concatenation of strings."""
     nation = read_table(spark, folder, "nation")
-    n, k = F.col("n_name"), F.col("n_nationkey")
-    return nation.select(
-        k.alias("n_nationkey"), (k < F.col("n_regionkey")).alias("below"), (k >= 10).alias("from_ten"), (n > "K").alias("after_k"),
-        (n == "KENYA").alias("is_kenya"), (k + F.col("n_regionkey")).alias("total"), F.concat(n, n).alias("twice"),
-    )
+    n, k, r = F.col("n_name"), F.col("n_nationkey"), F.col("n_regionkey")
+    compared = {"below": k < r, "upto": k <= r, "above": k > r, "from_ten": k >= 10, "same": k == r, "other": k != r}
+    compared |= {"before_k": n < "K", "upto_kenya": n <= "KENYA", "after_k": n > "K", "from_kenya": n >= "KENYA", "is_kenya": n == "KENYA", "not_kenya": n != "KENYA"}
+    return nation.select(k.alias("n_nationkey"), *(c.alias(name) for name, c in compared.items()), (k + r).alias("total"), F.concat(n, n).alias("twice"))
 
 
 def hash_partition_invariant(spark: SparkSession, folder: str) -> DataFrame:
+    """Keys, and those of them that are in more than one partition."""
     dealt = exchange.by_hash(read_table(spark, folder, "orders").select("o_custkey"), _partitions(spark), "o_custkey")
     placed = dealt.withColumn("pid", F.spark_partition_id()).groupBy("o_custkey").agg(F.count_distinct("pid").alias("places"))
-    return placed.agg(F.coalesce(F.sum((F.col("places") > 1).cast("bigint")), F.lit(0).cast("bigint")).alias("violations"))
+    return placed.agg(F.count(F.lit(1)).alias("n_keys"), F.count_if(F.col("places") > 1).alias("violations"))
 
 
 def zero_partition(spark: SparkSession, folder: str) -> DataFrame:
-    gathered = exchange.to_one(read_table(spark, folder, "nation"))
-    return gathered.select(F.spark_partition_id().alias("pid")).agg(F.count_distinct("pid").alias("n_partitions"))
+    """What a reduce step made, gathered: its rows and the partitions they are in."""
+    gathered = exchange.to_one(reducers.fold(read_table(spark, folder, "orders"), ["o_custkey"], "count", name="n"))
+    return gathered.groupBy(F.spark_partition_id().alias("pid")).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n").alias("n_orders")).drop("pid")
 
 
 def partition_of_int(spark: SparkSession, folder: str) -> DataFrame:
@@ -153,32 +157,109 @@ def partition_of_int(spark: SparkSession, folder: str) -> DataFrame:
     return exchange.partition_of_int(keys, "l_orderkey", 4)
 
 
+def partition_of_string(spark: SparkSession, folder: str) -> DataFrame:
+    """Words and names of all lengths modulo 4, with letters beyond ASCII."""
+    names = read_table(spark, folder, "part").select(F.col("p_name").alias("k"))
+    return exchange.partition_of_string(names.unionByName(_tokens(spark, folder).select(F.col("word").alias("k"))).distinct(), "k", 7)
+
+
+def partition_of_tuple(spark: SparkSession, folder: str) -> DataFrame:
+    """A nested key ((part, line), flag) is placed by the exclusive or of its leaves' hashes."""
+    keys = read_table(spark, folder, "lineitem").select("l_partkey", "l_linenumber", "l_returnflag").distinct()
+    hashed = murmur2_int(murmur2_int(keys, "l_partkey", "h1"), "l_linenumber", "h2").withColumn("h3", murmur2_string("l_returnflag").cast("bigint"))
+    return exchange.partition_of_tuple(hashed, ["h1", "h2", "h3"], 5).drop("h1", "h2", "h3")
+
+
 def custom_partitioner(spark: SparkSession, folder: str) -> DataFrame:
     pid = F.when(F.col("lang") == "en", 0).otherwise(1)
     dealt = exchange.by_partitioner(read_table(spark, folder, "documents").select("doc_id", "lang"), 4, pid)
     return dealt.select("doc_id", F.spark_partition_id().alias("pid"))
 
 
+def _new_folder(spark: SparkSession, name: str) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def text_round_trip(spark: SparkSession, folder: str) -> DataFrame:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}"
-    path = f"{base.rstrip('/')}/text-{uuid.uuid4().hex}"
+    path = _new_folder(spark, "text")
     write_text(word_count(spark, folder), path, gather=False)
     return read_text(spark, path).withColumnRenamed("value", "line")
 
 
+def gathered_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Written as one file, as the default sink does; its lines and the number of files that hold them."""
+    path = _new_folder(spark, "gathered")
+    write_text(word_count(spark, folder), path)
+    return read_text(spark, path).select(F.col("value").alias("line"), F.input_file_name().alias("file")).groupBy("line").agg(F.count_distinct("file").alias("files"))
+
+
+def refuse_existing(spark: SparkSession, folder: str) -> DataFrame:
+    """A second result isn't written over the first, which stays as it was."""
+    path, table = _new_folder(spark, "once"), read_table(spark, folder, "nation")
+    write_text(table.select("n_name"), path)
+    try:
+        write_text(table.select("n_nationkey"), path)
+        refused = False
+    except AnalysisException:
+        refused = True
+    return read_text(spark, path).select(F.col("value").alias("line"), F.lit(refused).alias("refused"))
+
+
+def empty_result(spark: SparkSession, folder: str) -> DataFrame:
+    """A job without records succeeds: a file without lines."""
+    path = _new_folder(spark, "empty")
+    none = _tokens(spark, folder).where("word = ' '").select("word", F.lit(1).cast("bigint").alias("n"))
+    write_text(reducers.fold(none, ["word"], "sum", "n", "n"), path)
+    return read_text(spark, path).agg(F.count(F.lit(1)).alias("n_lines"))
+
+
 # Every query with its SQL; {PAT} is the tokenizer's class.
 T = "(select doc_id, word from (select doc_id, unnest(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+')) word from documents) where word <> '')"
 WORDS = f"select word, count(*) n from {T} group by 1"
 LINES = f"""select '("'||word||'", '||n||')' line from ({WORDS})"""
-MURMUR = """
-with a as (select l_orderkey, l_orderkey & 4294967295 k from (select distinct l_orderkey from lineitem)),
-b as (select l_orderkey, (k * 1540483477) & 4294967295 k from a),
-c as (select l_orderkey, (xor(k, k >> 24) * 1540483477) & 4294967295 k from b),
-d as (select l_orderkey, xor(k, ((xor(2192675459, 4) * 1540483477) & 4294967295)::bigint) k from c),
-e as (select l_orderkey, (xor(k, k >> 13) * 1540483477) & 4294967295 k from d),
-f as (select l_orderkey, xor(k, k >> 15) k from e),
-g as (select l_orderkey, case when k >= 2147483648 then k - 4294967296 else k end k from f)
-select l_orderkey, case when k = -2147483648 then 0 else (abs(k) % 4)::int end pid from g"""
+
+
+def _murmur_int(k: str) -> str:
+    """The hash of an integer's low 32 bits, step by step."""
+    low = lambda x: f"(({x}) & 4294967295)"
+    times = lambda x: low(f"{x} * 1540483477")
+    first = times(low(f"{k}::bigint"))
+    second = times(f"xor({first}, {first} >> 24)")
+    start = times("xor(2192675459, 4)")
+    return _ended(f"xor({second}, {start})")
+
+
+def _ended(h: str) -> str:
+    """The last mixing of a hash, and its sign."""
+    steps = f"list_transform([({h})::bigint], lambda x: ((xor(x, x >> 13) * 1540483477) & 4294967295))"
+    steps = f"list_transform({steps}, lambda x: xor(x, x >> 15))"
+    return f"list_transform({steps}, lambda x: case when x >= 2147483648 then x - 4294967296 else x end)[1]"
+
+
+def _murmur_string(k: str) -> str:
+    """The hash of UTF-8 bytes: whole words of four, little end first, then the signed rest."""
+    x, n = f"hex(encode({k}))", f"octet_length(encode({k}))"
+    byte = lambda i: f"('0x' || substr({x}, 2 * ({i}) + 1, 2))::bigint"
+    signed = lambda i: f"(case when {byte(i)} > 127 then {byte(i)} - 256 else {byte(i)} end)"
+    word = " + ".join(f"{byte(f'4 * i + {b}')} * {256**b}" for b in range(4))
+    mixed = f"list_transform(range(0, {n} // 4), lambda i: ((({word}) * 1540483477) & 4294967295))"
+    mixed = f"list_transform({mixed}, lambda w: ((xor(w, w >> 24) * 1540483477) & 4294967295))"
+    whole = f"list_reduce(list_prepend(xor(2192675459, {n}), {mixed}), lambda h, w: xor((h * 1540483477) & 4294967295, w))"
+    shifted = f"(({signed(f'{n} // 4 * 4 + i')} * (1 << (8 * i)::int)) & 4294967295)"
+    tail = f"list_reduce(list_prepend(h, list_transform(range(0, {n} % 4), lambda i: {shifted})), lambda a, b: xor(a, b))"
+    rest = f"case when {n} % 4 = 0 then h else (({tail}) * 1540483477) & 4294967295 end"
+    return _ended(f"list_transform([{whole}], lambda h: {rest})[1]")
+
+
+def _slot(h: str, n: int) -> str:
+    return f"(case when {h} = -2147483648 then 0 else abs({h}) % {n} end)::int"
+
+
+MURMUR = f"select l_orderkey, {_slot('h', 4)} pid from (select l_orderkey, {_murmur_int('l_orderkey')} h from (select distinct l_orderkey from lineitem))"
+MURMUR_STRING = f"select k, {_slot('h', 7)} pid from (select k, {_murmur_string('k')} h from (select p_name k from part union select word from {T}))"
+MURMUR_TUPLE = f"""select l_partkey, l_linenumber, l_returnflag, {_slot('xor(xor(h1, h2), h3)', 5)} pid from (select *, {_murmur_int('l_partkey')} h1, {_murmur_int('l_linenumber')} h2, {_murmur_string('l_returnflag')} h3
+    from (select distinct l_partkey, l_linenumber, l_returnflag from lineitem))"""
 
 QUERIES: dict[str, tuple[Query, str]] = {
     "word_count": (word_count, WORDS),
@@ -199,10 +280,17 @@ QUERIES: dict[str, tuple[Query, str]] = {
     "map_filter": (map_filter, f"select doc_id, word from {T} where starts_with(word, 'S')"),
     "map_blocks": (map_blocks, "select doc_id, length(text) n from documents"),
     "project_tuple": (project_tuple, "select l_linenumber as second from lineitem"),
-    "compare_fold": (compare_fold, "select n_nationkey, n_nationkey < n_regionkey below, n_nationkey >= 10 from_ten, n_name > 'K' after_k, n_name = 'KENYA' is_kenya, n_nationkey + n_regionkey total, n_name || n_name twice from nation"),
-    "hash_partition_invariant": (hash_partition_invariant, "select 0::bigint violations"),
-    "zero_partition": (zero_partition, "select 1::bigint n_partitions"),
+    "compare_fold": (compare_fold, """select n_nationkey, n_nationkey < n_regionkey below, n_nationkey <= n_regionkey upto, n_nationkey > n_regionkey above, n_nationkey >= 10 from_ten, n_nationkey = n_regionkey same,
+        n_nationkey <> n_regionkey other, n_name < 'K' before_k, n_name <= 'KENYA' upto_kenya, n_name > 'K' after_k, n_name >= 'KENYA' from_kenya, n_name = 'KENYA' is_kenya, n_name <> 'KENYA' not_kenya,
+        n_nationkey + n_regionkey total, n_name || n_name twice from nation"""),
+    "hash_partition_invariant": (hash_partition_invariant, "select count(distinct o_custkey) n_keys, 0::bigint violations from orders"),
+    "zero_partition": (zero_partition, "select count(distinct o_custkey) n_rows, count(*) n_orders from orders"),
     "partition_of_int": (partition_of_int, MURMUR),
+    "partition_of_string": (partition_of_string, MURMUR_STRING),
+    "partition_of_tuple": (partition_of_tuple, MURMUR_TUPLE),
     "custom_partitioner": (custom_partitioner, "select doc_id, (case when lang = 'en' then 0 else 1 end)::int pid from documents"),
     "text_round_trip": (text_round_trip, LINES),
+    "gathered_text": (gathered_text, f"select line, 1::bigint files from ({LINES})"),
+    "refuse_existing": (refuse_existing, """select '"' || n_name || '"' line, true refused from nation"""),
+    "empty_result": (empty_result, f"select count(*) n_lines from {T} where word = ' '"),
 }

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import random
+import subprocess
+import sys
+from pathlib import Path
+
 import pyarrow as pa
 import pytest
 from pyspark.errors import AnalysisException
@@ -9,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace import cli
-from millrace.functions.hashing import murmur2_bytes, murmur2_int, murmur2_string
+from millrace.functions.hashing import murmur2_bytes, murmur2_int, murmur2_string, murmur2_strings
 from millrace.functions.records import leading, pair, tuple_type
 from millrace.operators import exchange, mappers, reducers
 from millrace.operators.job import Job
@@ -157,6 +163,79 @@ def test_command_line(spark, tmp_path):
     assert cli.main(arguments) == 1
 
 
+MAPPER = """
+import pyarrow as pa
+from millrace.operators import mappers, reducers
+from millrace.operators.job import Job
+
+def lengths(batch):
+    return pa.RecordBatch.from_arrays([pa.array([len(v) for v in batch.column(0).to_pylist()], pa.int64())], ["n"])
+
+job = Job(mapper=lambda df: mappers.map_blocks(df, lengths, "n bigint"), reducer=lambda df: reducers.fold(df, ["n"], "count", name="lines"))
+"""
+
+
+def test_command_line_ships_the_job_to_its_workers(tmp_path):
+    """From another folder, with nothing on the workers' path: neither this package nor the job's own module."""
+    repo = Path(cli.__file__).parents[1]
+    (tmp_path / "job").mkdir()
+    (tmp_path / "job" / "own_lengths.py").write_text(MAPPER)
+    (tmp_path / "in.txt").write_text("aa\nb\ncc\n")
+    run = f"import sys; sys.path[:0] = [{str(repo)!r}, {str(tmp_path / 'job')!r}]; from millrace import cli; sys.exit(cli.main({['-i', str(tmp_path / 'in.txt'), '-o', str(tmp_path / 'out'), '-j', 'own_lengths', '-m', 'local[2]']!r}))"
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYSPARK_SUBMIT_ARGS")}
+    done = subprocess.run([sys.executable, "-c", run], cwd=tmp_path / "job" / "..", env=env, capture_output=True, text=True, timeout=240)
+    assert done.returncode == 0, done.stderr
+    assert sorted(line for part in (tmp_path / "out").glob("part-*") for line in part.read_text().split("\n") if line) == ["(1, 1)", "(2, 2)"]
+
+
+def test_gathering_keeps_the_reduce_parallel(spark):
+    counted = word_count_job("text").run_simple(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    plan = exchange.to_one(counted)._jdf.queryExecution().executedPlan().toString()
+    gather = plan.index("SinglePartition")
+    assert "hashpartitioning" in plan[gather:] and "HashAggregate" in plan[gather:] and "HashAggregate" not in plan[:gather]
+
+
+def test_combiner_sends_fewer_records(spark):
+    batches = [pa.RecordBatch.from_pydict({"k": ["a", "b", "a", None], "v": [1, 2, 3, 4]}) for _ in range(50)]
+    out = [r for b in reducers.combined_sums("k", "v", 10)(iter(batches)) for r in b.to_pylist()]
+    assert sorted(map(str, out)) == sorted(map(str, [{"k": "a", "v": 200}, {"k": "b", "v": 100}, {"k": None, "v": 200}]))
+    many = [pa.RecordBatch.from_pydict({"k": list(range(i, i + 30)), "v": [1] * 30}) for i in range(0, 300, 30)]
+    assert sum(r["v"] for b in reducers.combined_sums("k", "v", 10)(iter(many)) for r in b.to_pylist()) == 300
+    assert list(reducers.combined_sums("k", "v")(iter([]))) == []
+
+
+def test_ranks_go_over_batches():
+    batches = [pa.RecordBatch.from_pydict({"k": k, "o": list(range(len(k)))}) for k in ([1, 1, 2], [2], [2, 3], [3])]
+    assert [r["pos"] for b in reducers.rank_runs(["k", "o"], "pos")(iter(batches)) for r in b.to_pylist()] == [1, 2, 1, 2, 3, 1, 2]
+
+
+def test_union_and_parts(spark):
+    df = spark.createDataFrame([("a", 10), ("a", 9), ("a", 10), ("b", 1)], "k string, v int")
+    assert {r.k: r.u for r in reducers.fold(df, ["k"], "union", "v", "u", "|").collect()} == {"a": "9|10", "b": "1"}
+    parted = reducers.fold(df, ["k", reducers.part_of("v", 2).alias("part")], "concat", "v", "c", ",").collect()
+    assert sorted(v for r in parted for v in r.c.split(",")) == ["1", "10", "10", "9"] and all(r.part in (0, 1) for r in parted)
+
+
+def test_strings_hash_alike_in_arrays_and_alone():
+    rng = random.Random(1)
+    values = ["".join(rng.choices("aé漢z 😀", k=rng.randint(0, 30))) for _ in range(500)] + ["", "x" * 5000]
+    hashed = [murmur2_bytes(v.encode()) for v in values]
+    assert murmur2_strings(pa.array(values)).tolist() == hashed and murmur2_strings(pa.array(values).slice(7, 50)).tolist() == hashed[7:57]
+    assert murmur2_strings(pa.array([], pa.string())).tolist() == []
+
+
+def test_entry_keeps_the_core_where_the_rest_cannot_be_imported(monkeypatch):
+    import __spark_entry__
+
+    def broken(name):
+        raise ModuleNotFoundError("No module named 'zstandard'", name="zstandard")
+
+    monkeypatch.setattr(__spark_entry__, "import_module", broken)
+    with pytest.warns(UserWarning, match="zstandard"):
+        names = __spark_entry__.queries().keys()
+    assert "word_count" in names and not any(n.startswith("op") for n in names)
+
+
 def test_streaming_word_count_and_windows(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text("x y x\n")
