@@ -6,13 +6,14 @@ target / (2 k + 1), then in the same way to the shards of a source by shard size
 its quota of blocks from a seeded place on, round its ring once or more. So each quota is an integer,
 documents are whole but for those at the two ends, and the same seed gives the same mix.
 
-Only one row per source comes to the driver. A source's shards are at most ``MAX_SHARDS``, and a shard
-holds a bounded share of a source, so that a hot source is spread over many tasks.
+Only one row per source comes to the driver, of MOST_SOURCES at most. A source's shards are at most ``MAX_SHARDS``, so that a hot source is spread over
+many tasks; a shard's documents are narrow rows (ids and sizes), some 4 million of them where one source holds a third of 50 billion documents.
 """
 
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -20,9 +21,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from millrace.llm.common import sliced, staged, texts
+from millrace.llm.common import Workspace, packed, quoted, sliced, staged, texts
 
 WEIGHTS = (3.0, 1.0, 2.0)
 TOTAL = 1.5
@@ -30,6 +32,9 @@ MOST = 2
 BLOCK = 8
 SHARD_WORDS = 1 << 18
 MAX_SHARDS = 4096
+#: A table of more is refused: its sources would be held by the driver.
+MOST_SOURCES = 1_000_000
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SEED = 17
 
 
@@ -83,16 +88,16 @@ def apportion(votes: Sequence[float], seats: int, caps: Sequence[int]) -> list[i
     return out.tolist()
 
 
-def sizes_of(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """(doc_id, source, size): words of each whole text; null and empty texts have none."""
+def sizes_of(docs: DataFrame) -> DataFrame:
+    """(doc, size): each row's columns, and the words of its whole text; null and empty texts have none."""
+    whole = packed(docs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            n = [len(t.split()) if t else 0 for t in texts(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["doc_id", "source", "size"])
+            n = [len(t.split()) if t else 0 for t in texts(batch.column(0).field("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["doc", "size"])
 
-    narrow = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text"))
-    return narrow.mapInArrow(count, "doc_id bigint, source string, size bigint")
+    return whole.mapInArrow(count, T.StructType([*whole.schema.fields, T.StructField("size", T.LongType())]))
 
 
 def mix(
@@ -102,12 +107,59 @@ def mix(
     """One row per document: doc_id, source, size, source_size, target, taken, passes and spans.
 
     ``taken`` words are ``passes`` times the whole document and, once more, the half-open word ``spans`` of it.
-    Null or empty texts: size and taken 0. Null sources are a source of their own. Rows that repeat count each.
+    Null or empty texts: size and taken 0; texts of any length are counted whole. Null sources are a source of their own. Rows that repeat count each, documents whose
+    places in the order tie are told apart by id and size. Other columns than doc_id, source and text aren't looked at, whatever their names.
     An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    sized = staged(sizes_of(docs), "mix-sizes")
-    totals = {r.source: r.size for r in sized.groupBy("source").agg(F.sum("size").alias("size")).collect()}
+    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
+    sized = sizes_of(narrow).select(F.col("doc.doc_id").alias("doc_id"), F.col("doc.source").alias("source"), "size")
+    return allotted(staged(sized, "mix-sizes"), weights, total, most, block, shard_words, max_shards, seed)
+
+
+def mixed_texts(docs: DataFrame, **options) -> DataFrame:
+    """The documents of which the mix takes any words, with all their columns but in ``text`` the words taken: whole texts, then parts of them, one after the other
+    with a line end between. size, source_size, target and taken as in mix() are added, in place of columns of these names.
+
+    Everything else is as in mix(), of whose ``options`` any may be given.
+    """
+    own = [c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "taken")]
+    with Workspace(docs.sparkSession, "mix") as work:
+        kept = work.staged(sizes_of(docs.select(*(F.col(quoted(c)) for c in own))).withColumn("row", F.monotonically_increasing_id()), "sizes")
+        sized = kept.select(F.col("doc.doc_id").cast("bigint").alias("doc_id"), F.col("doc.source").cast("string").alias("source"), "size", "row")
+        wanted = allotted(sized, **options).where("taken > 0").select("row", "source_size", "target", "taken", "passes", "spans")
+        joined = kept.join(wanted.hint("merge"), "row").select("doc", "size", "source_size", "target", "taken", "passes", "spans")
+
+        names = [*joined.columns[:5], "taken_text"]
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in sliced(batches):
+                rows = zip(batch.column(0).field("text").to_pylist(), batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array([taken_text(*r) for r in rows], pa.string())], names)
+
+        made = joined.mapInArrow(cut, T.StructType([*joined.schema.fields[:5], T.StructField("taken_text", T.StringType())]))
+        out = [F.col("taken_text" if c.lower() == "text" else f"doc.{quoted(c)}").alias(c) for c in own]
+        return staged(made.select(*out, "size", "source_size", "target", "taken"), "mixed")
+
+
+def taken_text(text: str, passes: int, spans: list[dict[str, int]]) -> str:
+    """``passes`` whole texts and the words of ``spans``, with the white space that's between them."""
+    parts = [text] * passes
+    if spans:
+        words = [m.span() for m in WORD.finditer(text)]
+        parts += [text[words[s["start"]][0] : words[s["end"] - 1][1]] for s in spans]
+    return "\n".join(parts)
+
+
+def allotted(
+    sized: DataFrame, weights: Sequence[float] = WEIGHTS, total: float = TOTAL, most: int = MOST, block: int = BLOCK,
+    shard_words: int = SHARD_WORDS, max_shards: int = MAX_SHARDS, seed: int = SEED,
+) -> DataFrame:
+    """mix() of documents whose sizes are known: rows of doc_id, source, size and any others, which stay."""
+    spark, others = sized.sparkSession, [c for c in sized.columns if c not in ("doc_id", "source", "size")]
+    found = sized.groupBy("source").agg(F.sum("size").alias("words")).limit(MOST_SOURCES + 1).collect()
+    if len(found) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+    totals = {r["source"]: r["words"] for r in found}
     wanted = targets(totals, weights, total, most)
     order = sorted(totals, key=lambda s: (s is None, s or ""))
     shards = {s: min(max_shards, -(-totals[s] // shard_words) or 1) for s in order}
@@ -142,4 +194,4 @@ def mix(
     spans = F.filter(both, lambda s: s["end"] > s["start"])
     made = placed.withColumn("passes", passes.cast("bigint")).withColumn("rest", rest).withColumn("spans", spans)
     taken = F.col("passes") * F.col("size") + F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
-    return made.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "passes", "spans")
+    return made.select(*others, "doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "passes", "spans")

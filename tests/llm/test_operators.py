@@ -99,6 +99,68 @@ def test_mix_takes_what_it_should(spark):
     assert other != {(r.doc_id, r.taken) for r in mix.mix(docs).collect()}
 
 
+def spark_hash(*values):
+    """Spark's xxhash64 of integers (as bigint, if not marked), strings and nulls."""
+    import xxhash
+
+    h = 42
+    for v in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v if isinstance(v, bytes) else v.to_bytes(8, "little", signed=True), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def test_mix_equals_brute_force(spark):
+    """Quotas by highest quotients, rings of single words, blocks taken from the seeded place on."""
+    rng = random.Random(8)
+    rows = [(d, " ".join(["w"] * rng.choice([0, 1, 7, 30, 200])), "x", rng.choice(["a", "b", "c", None]) if d % 3 else "a", 0) for d in range(160)] + [(3, "w w", "x", "a", 0), (None, "w " * 9, "x", "b", 0)]
+    block, per_shard, seed = 8, 700, 5
+    got = mix.mix(spark.createDataFrame(rows, DOCS), shard_words=per_shard, seed=seed).collect()
+    size = Counter()
+    for _, text, _, source, _ in rows:
+        size[source] += len(words(text))
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    wanted = mix.targets(dict(size))
+
+    def highest(votes, seats, caps):
+        held = [0] * len(votes)
+        for _ in range(seats):
+            free = [i for i in range(len(votes)) if held[i] < caps[i] and votes[i] > 0]
+            if free:
+                held[max(free, key=lambda i: (Fraction(votes[i]) / (2 * held[i] + 1), -i))] += 1
+        return held
+
+    quota = dict(zip(order, highest([wanted[s] for s in order], round(sum(wanted.values()) / block), [2 * size[s] // block for s in order]), strict=True))
+    four = lambda n: n.to_bytes(4, "little", signed=True)
+    taken = Counter()
+    for source in order:
+        shards = max(1, -(-size[source] // per_shard))
+        own = [[r for r in rows if r[3] == source and spark_hash(four(seed), r[0]) % shards == k] for k in range(shards)]
+        own = [(k, r) for k, r in enumerate(own) if r]
+        length = [sum(len(words(t)) for _, t, *_ in r) for _, r in own]
+        for (k, docs), n, blocks in zip(own, length, highest(length, quota[source], [2 * n // block for n in length]), strict=True):
+            ring = [d for d, t, *_ in sorted(docs, key=lambda r: (spark_hash(four(seed + 2), r[0]), r[0] or 0, len(words(r[1])))) for _ in words(t)]
+            start = spark_hash(four(seed + 1), source, k) % -(-n // block) * block if n else 0
+            for i in range(blocks * block):
+                taken[source, ring[(start + i) % n]] += 1
+    mine = Counter()
+    for r in got:
+        mine[r.source, r.doc_id] += r.taken
+    assert +mine == +taken and sum(taken.values()) > 1000
+
+
+def test_mixed_texts_hold_the_words_taken(spark):
+    docs = odd_documents(spark).unionByName(odd_documents(spark, [(20 + i, "\n".join(f"w{i} {k},  x" for k in range(i)), "en", "ab"[i % 2], 3) for i in range(30)]))
+    got = mix.mixed_texts(docs.withColumn("taken", F.lit("clash")), shard_words=60).collect()
+    plan = {r.doc_id: r for r in mix.mix(docs, shard_words=60).where("taken > 0").collect()}
+    assert {r.doc_id for r in got} == plan.keys() and {r._version for r in got} == {1}
+    text = {r.doc_id: r.text for r in docs.collect()}
+    for r in got:
+        assert len(words(r.text)) == r.taken and (r.taken != len(words(text[r.doc_id])) or r.doc_id == 1 or words(r.text) == words(text[r.doc_id]) or plan[r.doc_id].spans)
+    assert mix.taken_text("  a b\n c ", 1, [{"start": 1, "end": 3}]) == "  a b\n c \nb\n c" and mix.taken_text("a", 2, []) == "a\na"
+    assert mix.mixed_texts(docs.where("false")).collect() == []
+
+
 def test_mix_odd_documents(spark):
     rows = mix.mix(odd_documents(spark)).collect()
     assert len(rows) == 10 and all(r.taken <= 2 * r.size for r in rows)

@@ -44,6 +44,7 @@ def test_stages_equal_brute_force(spark):
             assert after.keys() == {d for d in before if not any(len(held[d] & b) >= 0.8 * len(b) for b in benchmark.values())}
         else:
             assert all(0 < r.taken <= 2 * r.size and r.size == len(words(before[d])) for d, r in after.items())
+            assert set(columns) <= set(docs.columns) and all(len(words(r.text)) == r.taken and r.n_chars == len(r.text) for r in after.values())
 
 
 def test_stages_take_odd_documents(spark):
