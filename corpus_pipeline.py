@@ -5,11 +5,13 @@ Counted as part of the subpackage millrace.llm. Every stage works on all that th
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontam, langid, linededup, mix, neardup
-from millrace.llm.common import SPACE, staged
+from millrace.llm.common import SPACE, delete, scratch, write_and_read
 
 #: Documents nearer to no language than this have next to none of its frequent n-grams.
 LEAST_SCORE = 0.2
@@ -39,8 +41,9 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of which documents the mix takes, and where; documents of which it takes none go."""
-    return mix.mix(docs).where("taken > 0")
+    """The corpus: documents with the words that the mix takes of them as their text, how many these are, and their source's size and target."""
+    mixed = mix.mixed_texts(docs)
+    return mixed.withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 STAGES = [("language ID", language), ("line dedup", lines), ("MinHash near-dedup", near), ("benchmark decontamination", leaks), ("source mixing", mixture)]
@@ -50,7 +53,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
+        path = f"{scratch(spark)}/{name.replace(' ', '-').lower()}-{uuid.uuid4().hex}"
+        docs = write_and_read(stage(spark, docs, sf_dir), path)
+        if before:
+            delete(spark, before)  # what the next stage has read whole isn't needed again
+        before = path
     return docs
