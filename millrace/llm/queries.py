@@ -67,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_url_filter": sql.url_filter(urlfilter.RULES, urlfilter.HIDDEN, urlfilter.HREF, urlfilter.STEPS, urlfilter.DAMPING, urlfilter.THRESHOLD),
     "op3_decontaminate": sql.DECONTAMINATION,
+    "op4_language_id": sql.language_id(langid.PROFILE),
     "op6_near_dedup": sql.NEAR_DEDUP,
     "op7_chat": sql.CHAT,
     "op8_quality": sql.quality(quality.RULES, quality.SEQUENCE, quality.RISK, quality.LEVEL),

@@ -59,6 +59,24 @@ select page_id, n payload_bytes, array_to_string(list_transform(range(0, 32), la
     case when page_id = o then 'response' else 'revisit' end record_type, case when page_id <> o then o end refers_to from d"""
 
 
+def language_id(size: int) -> str:
+    """Profiles of all documents to learn from, which is what the operator learns where no language has more of them than its sample, and distances to them."""
+    bytes_ = "list_transform(range(1, length(d) + 1), lambda i: ascii(substr(d, i::int, 1))::bigint)"
+    crc = f"xor(list_reduce(list_prepend(4294967295::bigint, {bytes_}), lambda a, b: list_reduce(list_prepend(xor(a, b), range(0, 8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+    return f"""
+with a as (select doc_id, lang, text, coalesce({crc} % 4 = 2, false) held_out from (select *, doc_id::varchar d from documents)),
+s as (select doc_id, lang, held_out, list_transform(regexp_extract_all(' ' || trim(regexp_replace(lower(text), '[^\\p{{L}}]+', ' ', 'g')) || ' ', '(?s).'), lambda c: unicode(c)::bigint) c from a where regexp_matches(text, '\\p{{L}}')),
+g as (select doc_id, lang, held_out, unnest(list_concat(list_filter(c, lambda x: x <> 32), list_transform(range(1, len(c)), lambda i: (c[i] << 21) | c[i + 1]),
+    list_transform(list_filter(range(1, len(c) - 1), lambda i: c[i + 1] <> 32), lambda i: (c[i] << 42) | (c[i + 1] << 21) | c[i + 2]))) code from s),
+n as materialized (select doc_id, lang, held_out, code, count(*) n from g group by all),
+l as materialized (select lang, code, row_number() over (partition by lang order by sum(n) desc, code) - 1 r from n where lang is not null and doc_id is not null and not held_out group by lang, code qualify r < {size}),
+o as materialized (select doc_id, code, row_number() over (partition by doc_id order by n desc, code) - 1 r from n qualify r < {size}),
+k as (select distinct lang from l),
+m as (select o.doc_id, k.lang, count(*) own, sum(coalesce(abs(o.r - l.r), {size})) distance from o cross join k left join l on l.lang = k.lang and l.code = o.code group by 1, 2),
+b as (select doc_id, arg_min(lang, (distance, lang)) lang, min(distance) distance, any_value(own) own from m group by 1)
+select doc_id, held_out, coalesce(b.lang, 'und') lang_pred, coalesce(1 - distance / ({size} * own), 0)::double score from a left join b using (doc_id)"""
+
+
 def quality(rules: dict[str, tuple[str, list[float]]], sequence: list[tuple[str, float]], risk: float, level: float) -> str:
     """Counts, cutoffs by exact binomial tails, and verdicts."""
     first = ", ".join("case " + " ".join(f"when {ratio} > {cut} then {sequence.index((rule, cut))}" for cut in grid) + f" else {len(sequence)} end" for rule, (ratio, grid) in rules.items())
