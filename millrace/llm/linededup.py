@@ -54,7 +54,8 @@ def remove_repeated_windows(docs: DataFrame, size: int = SIZE) -> DataFrame:
     with Workspace(docs.sparkSession, "lines") as work:
         later = later_windows(work, keyed.select(F.col("doc.doc_id").alias("doc_id"), "version", "lines"), size)
         covered = staged(later.groupBy(F.col("doc_id").alias("id"), F.col("version").alias("of")).agg(F.collect_set("pos").alias("starts")), "covered-lines")
-    joined = keyed.drop("lines").join(covered, F.col("doc.doc_id").eqNullSafe(F.col("id")) & (F.col("version") == F.col("of")), "left")
+    # merged at any size: what is covered grows with the documents
+    joined = keyed.drop("lines").join(covered.hint("merge"), F.col("doc.doc_id").eqNullSafe(F.col("id")) & (F.col("version") == F.col("of")), "left")
     joined = joined.select("doc", "starts").withColumn("lines", F.split("doc.text", "\n"))
     joined = joined.withColumn("gone", F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (size - 1))))))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
