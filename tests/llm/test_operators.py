@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import inspect
 import math
 import random
 import re
@@ -15,7 +16,7 @@ import pytest
 from oracle import FOLDER, compare
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, decontam, extract, langid, linededup, mix, neardup, quality, queries, urlfilter, warc
+from millrace.llm import chat, common, decontam, extract, langid, linededup, mix, neardup, quality, queries, urlfilter, warc
 from millrace.llm.common import WordHashes, scratch, shingles
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -886,3 +887,51 @@ def test_line_dedup_odd_documents(spark):
 def test_native_operators_run_no_python(spark, name):
     plan = queries.QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+# columns of any name
+
+
+def internal_names():
+    """Every name that the operators give a column, as their sources say."""
+    found = {"_gone", "_version", "_lines", "_id", "_of", "_starts", "_old_score"}
+    for module in (chat, common, decontam, extract, langid, linededup, mix, neardup, quality, urlfilter, warc):
+        text = inspect.getsource(module)
+        found |= set(re.findall(r"""(?:alias|withColumn|withColumnRenamed)\(\(?"([A-Za-z_]+)\"""", text)) | set(re.findall(r"""(?:withColumnRenamed)\("[a-z_]+", "([a-z_]+)\"""", text))
+        found |= {part.split()[0] for ddl in re.findall(r"""\"((?:[a-z_]+ (?:bigint|string|binary|boolean|double|int)(?:, )?)+)\"""", text) for part in ddl.split(", ") if part}
+    return found
+
+
+def small_table(spark, name, columns):
+    """A few rows of a table, or the same with a column for each name that isn't the table's own."""
+    df = spark.read.parquet(f"{FOLDER}/{name}.parquet").orderBy(*columns[:2]).limit(40).select(*columns)
+    own = {c.lower() for c in columns}
+    return df, df.withColumns({n: F.concat(F.lit(f"{n}:"), F.col(columns[0]).cast("string")) for n in sorted(internal_names()) if n.lower() not in own})
+
+
+DOCUMENTS, PAGES = ("doc_id", "text", "lang", "source", "n_chars"), ("page_id", "url", "html")
+KEEPING = {
+    "mixed_texts": (lambda s, t: mix.mixed_texts(t, shard_words=500), "documents", DOCUMENTS), "decontaminate": (lambda s, t: decontam.decontaminate(t, small_table(s, "benchmark", ("item_id", "text"))[1]), "documents", DOCUMENTS),
+    "identify": (lambda s, t: langid.identify(t, langid.fit(t)), "documents", DOCUMENTS), "extracted": (lambda s, t: extract.extracted(t), "pages", PAGES),
+    "deduplicate": (lambda s, t: neardup.deduplicate(t, words=2), "documents", DOCUMENTS), "line_dedup": (lambda s, t: linededup.remove_repeated_windows(t), "documents", DOCUMENTS),
+}
+GIVING = {
+    "mix": (lambda s, t: mix.mix(t, shard_words=500), "documents", DOCUMENTS), "filtered": (lambda s, t: urlfilter.filtered(t), "pages", PAGES), "archived": (lambda s, t: warc.archived(t), "pages", PAGES),
+    "find_contained": (lambda s, t: decontam.find_contained(t, small_table(s, "benchmark", ("item_id", "text"))[1]), "documents", DOCUMENTS), "near_duplicates": (lambda s, t: neardup.near_duplicates(t, words=2), "documents", DOCUMENTS),
+    "formatted": (lambda s, t: chat.formatted(t), "conversations", ("conv_id", "turn", "role", "text")), "judged": (lambda s, t: quality.judged(t, small_table(s, "labels", ("doc_id", "quality"))[1]), "documents", DOCUMENTS),
+}
+
+
+@pytest.mark.parametrize("name", [*KEEPING, *GIVING])
+def test_columns_of_any_name(spark, name):
+    """Results don't change with columns named as the operators' own, and come with those columns as they were."""
+    operator, table, columns = (KEEPING | GIVING)[name]
+    plain, extra = small_table(spark, table, columns)
+    expected, got = operator(spark, plain), operator(spark, extra)
+    assert sorted(map(str, got.select(*(f"`{c}`" for c in expected.columns)).collect())) == sorted(map(str, expected.collect()))
+    if name in KEEPING:
+        added = [c for c in extra.columns if c not in plain.columns and c not in expected.columns]
+        assert len(added) > 80 and set(added) <= set(got.columns)
+        assert all(r[c] == f"{c}:{r[columns[0]]}" for r in got.collect() for c in added)
+    else:
+        assert got.columns == expected.columns
