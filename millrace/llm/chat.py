@@ -30,7 +30,8 @@ def formatted(rows: DataFrame) -> DataFrame:
     """(conv_id, segments, formatted) of rows of conv_id, turn, role, text; segments are (text, loss).
 
     Null roles and texts are empty; a null turn comes first; equal turns are in order of role, then text; rows that repeat are
-    turns of their own; a null conv_id is a conversation too. Only the loss role's texts are in the loss. No rows: no conversations.
+    turns of their own; a null conv_id is a conversation too. Only the loss role's texts are in the loss. Very long texts stay whole: a conversation is
+    one row. Other columns are left out, whatever their names. No rows: no conversations.
     """
     none = F.lit("")
     turn = F.struct(F.col("turn").alias("turn"), F.coalesce("role", none).alias("role"), F.coalesce("text", none).alias("text"))

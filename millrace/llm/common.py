@@ -21,6 +21,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BATCH_ROWS = 1000
 #: Places over which rows of one key are spread where they meet what is known of the key.
 PARTS = 64
+#: A table of more languages is refused: what is learned of each would be held by the driver.
+MOST_LANGUAGES = 10_000
+#: Temporary folders of sessions on a single machine that name none, by application.
+_LOCAL: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession) -> str:
@@ -29,8 +33,8 @@ def scratch(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _LOCAL.setdefault(spark.sparkContext.applicationId, "") or f"file://{tempfile.mkdtemp(prefix='millrace-')}"
+        _LOCAL[spark.sparkContext.applicationId] = base
     return f"{base.rstrip('/')}/millrace-{spark.sparkContext.applicationId}"
 
 
@@ -45,6 +49,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return write_and_read(df, f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
 
 
+def few(rows: list, most: int, what: str) -> list:
+    """``rows`` that were collected with a limit of ``most`` + 1, or an error."""
+    if len(rows) > most:
+        raise ValueError(f"more than {most} {what}")
+    return rows
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a folder of any store that Spark reaches."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -20,12 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import appended, sliced
+from millrace.llm.common import MOST_LANGUAGES, appended, few, sliced
 
 PROFILE = 300
 SAMPLE = 3000
 UNKNOWN = "und"
-MOST_BROADCAST = 10_000
 
 
 @lru_cache(maxsize=1)
@@ -101,12 +100,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE, size: int = PROFILE, doc_id: str
     """
     known = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     usable = known.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
-    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("documents")).collect()
+    counts = few(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("documents")).limit(MOST_LANGUAGES + 1).collect(), MOST_LANGUAGES, "languages")
     if not counts:
         return Profiles.of({}, size)
-    rates = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, sample / r["documents"])) for r in counts], "lang string, rate double")
-    if len(counts) <= MOST_BROADCAST:  # one row per language: else the texts would be shuffled to meet them
-        rates = F.broadcast(rates)
+    # one row per language, MOST_LANGUAGES at most: else the texts would be shuffled to meet them
+    rates = F.broadcast(docs.sparkSession.createDataFrame([(r["lang"], min(1.0, sample / r["documents"])) for r in counts], "lang string, rate double"))
     draw = F.pmod(F.xxhash64(F.lit("language sample"), "id"), F.lit(1 << 30)) / float(1 << 30)
     picked = usable.join(rates, "lang").where(draw < F.col("rate")).select("lang", "text")
 

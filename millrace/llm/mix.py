@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from millrace.llm.common import Workspace, packed, quoted, sliced, staged, texts
+from millrace.llm.common import Workspace, few, packed, quoted, sliced, staged, texts
 
 WEIGHTS = (3.0, 1.0, 2.0)
 TOTAL = 1.5
@@ -156,9 +156,7 @@ def allotted(
 ) -> DataFrame:
     """mix() of documents whose sizes are known: rows of doc_id, source, size and any others, which stay."""
     spark, others = sized.sparkSession, [c for c in sized.columns if c not in ("doc_id", "source", "size")]
-    found = sized.groupBy("source").agg(F.sum("size").alias("words")).limit(MOST_SOURCES + 1).collect()
-    if len(found) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
+    found = few(sized.groupBy("source").agg(F.sum("size").alias("words")).limit(MOST_SOURCES + 1).collect(), MOST_SOURCES, "sources")
     totals = {r["source"]: r["words"] for r in found}
     wanted = targets(totals, weights, total, most)
     order = sorted(totals, key=lambda s: (s is None, s or ""))

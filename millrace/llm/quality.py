@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WordHashes, rolled, sliced, staged, texts
+from millrace.llm.common import MOST_LANGUAGES, WordHashes, few, rolled, sliced, staged, texts
 
 RISK, LEVEL = 0.02, 0.05
 WINDOW = 8
@@ -123,7 +123,8 @@ def cutoffs(known: DataFrame, labels: DataFrame, risk: float = RISK, level: floa
     held = known.where(~base_failed()).select("doc_id", "lang", first_rejected().alias("place")).join(good.select("doc_id"), "doc_id")
     held = held.groupBy("doc_id").agg(F.min("lang").alias("lang"), F.min("place").alias("place"))
     first: dict[str | None, list[int]] = {}
-    for row in held.groupBy("lang", "place").agg(F.count(F.lit(1)).alias("documents")).collect():
+    most = MOST_LANGUAGES * (len(SEQUENCE) + 1)
+    for row in few(held.groupBy("lang", "place").agg(F.count(F.lit(1)).alias("documents")).limit(most + 1).collect(), most, "counts of languages"):
         first.setdefault(row["lang"], [0] * (len(SEQUENCE) + 1))[row["place"]] = row["documents"]
     own = {lang for lang, counted in first.items() if sum(counted) >= fewest(len(first), risk, level)}
 

@@ -306,6 +306,37 @@ def test_containment_equals_brute_force(spark):
     assert decontam.find_contained(left, right.where("false")).collect() == [] and decontam.find_contained(left.where("false"), right).collect() == []
 
 
+def test_very_long_texts(spark):
+    """Megabytes in one row, through the operators whose own tests have none: the values are those of short texts."""
+    lines = [f"line {i} of it" for i in range(100_000)]
+    long = "\n".join(lines)
+    docs = spark.createDataFrame([(1, "a\nb\nc\nd"), (2, long), (3, "\n".join(["x", *lines[500:503], "y"]))], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in linededup.remove_repeated_windows(docs).collect()}
+    assert got[2].text == long and got[2].n_lines == 100_000 and got[3].text == "x\ny" and got[3].n_removed == 3
+    page = spark.createDataFrame([(1, "http://a.com/de/", "<p>x</p>" * 200_000 + '<a href="//b.net/">'), (2, "http://c.net/" + "y" * 10**6, '<a href="//a.com/">')], "page_id bigint, url string, html string")
+    assert {(r.src, r.dst) for r in urlfilter.links(page).collect()} == {("a.com", "b.net"), ("c.net", "a.com")}
+    judged = {r.page_id: r for r in urlfilter.filtered(page).collect()}
+    assert judged[2].verdict == "block" and len(judged[2].path) == 10**6 + 1
+    talk = spark.createDataFrame([(1, 0, "user", "q<|"), (1, 1, "assistant", "\\<|" * 500_000)], "conv_id bigint, turn bigint, role string, text string")
+    row = chat.formatted(talk).withColumn("turns", chat.read_back(F.col("formatted"))).first()
+    assert [t.text for t in row.turns] == ["q<|", "\\<|" * 500_000]
+
+
+def test_repeated_documents_and_items(spark):
+    item = " ".join(f"i{k}" for k in range(20))
+    docs = spark.createDataFrame([(1, f"x {item}"), (1, f"x {item}"), (2, "x y z"), (2, "x y z")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(5, item), (5, item), (6, item)], "item_id bigint, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontam.find_contained(docs, items).collect()) == [(1, 5), (1, 5), (1, 6), (1, 6)]
+    assert [r.doc_id for r in decontam.decontaminate(docs, items).collect()] == [2, 2]
+
+
+def test_too_many_languages_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 3)
+    docs = spark.createDataFrame([(4 * i, "text", f"l{i}", "s", 0) for i in range(20)], DOCS)
+    with pytest.raises(ValueError, match="more than 3 languages"):
+        langid.fit(docs)
+
+
 def test_any_text_of_an_item_is_found(spark):
     one, two = " ".join(f"a{i}" for i in range(14)), " ".join(f"b{i}" for i in range(24))
     docs = spark.createDataFrame([(1, f"x {one} y"), (2, f"{two} y"), (3, f"{one} {two}"), (4, "none of it is in here at all")], "doc_id bigint, text string")
