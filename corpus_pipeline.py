@@ -1,6 +1,9 @@
 """A training corpus from ``documents``: five stages, each written as Parquet and read again by the next.
 
 Counted as part of the subpackage millrace.llm. Every stage works on all that the one before it kept.
+
+In every stage a null in any column does no harm, repeated rows are rows of their own (near-dedup keeps one of each group), texts of any length are whole rows of a
+task, an empty table gives an empty table, and columns besides those of documents stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,25 +21,25 @@ LEAST_SCORE = 0.2
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without letters and those that are like none of the languages learned."""
+    """Rejects documents without letters, null and empty ones among them, and those that are like none of the languages learned."""
     found = langid.identify(docs, langid.fit(docs))
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated three-line windows out of texts; documents of which no word is left go."""
+    """Takes repeated three-line windows out of texts; documents of which no word is left go. Null and short texts stay as they are."""
     left = linededup.remove_repeated_windows(docs)
     word = F.col("text").rlike(f"[^{SPACE[1:]}")
     return left.where((F.col("n_removed") == 0) | word).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates, on shingles of five words."""
+    """Keeps one document of each group of near-duplicates, on shingles of five words: that of the smallest doc_id. Null and empty texts are in no group."""
     return neardup.deduplicate(docs, words=5, percent=80).select(*docs.columns)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
+    """Drops documents that hold a benchmark item. Null and empty texts hold none."""
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
 
 
