@@ -290,6 +290,8 @@ def all_stars(work: Workspace, signed: DataFrame, words: int, percent: int) -> D
         placed = members.join(rooted_nodes(stars), "key", "left").withColumn("root", F.coalesce("root", "key"))
         split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
         placed = work.staged(attached(placed, split, "bucket", "key"), "placed")
+        if placed.isEmpty():
+            return stars
         members = placed.select("bucket", "key")
         degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("links"))
         ranked = placed.join(degree, "key", "left").select("bucket", F.struct(F.coalesce("links", F.lit(0)).alias("links"), "key", "root").alias("hub"))
