@@ -176,7 +176,8 @@ def planned(pages: DataFrame, least: int = 0) -> DataFrame:
     whole = parts.groupBy("key").agg(F.min("first").alias("first"), F.sum("pages").alias("pages")).where("pages > 1 and first is not null")
     known = parts.select("key", "part").join(whole, "key").select("key", "part", "first")
     revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
-    joined = keyed.join(staged(known, "payloads").hint("merge"), ["key", "part"], "left")  # at any size: it grows with the pages
+    # Spark broadcasts what is known where it's small, and pages aren't shuffled then
+    joined = keyed.join(staged(known, "payloads"), ["key", "part"], "left")
     return joined.select("page_id", "url", "html", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
 
 
