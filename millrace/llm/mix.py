@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from millrace.llm.common import Workspace, few, packed, quoted, sliced, staged, texts
+from millrace.llm.common import few, packed, quoted, sliced, staged, texts
 
 WEIGHTS = (3.0, 1.0, 2.0)
 TOTAL = 1.5
@@ -123,22 +123,20 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     Everything else is as in mix(), of whose ``options`` any may be given.
     """
     own = [c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "taken")]
-    with Workspace(docs.sparkSession, "mix") as work:
-        kept = work.staged(sizes_of(docs.select(*(F.col(quoted(c)) for c in own))).withColumn("row", F.monotonically_increasing_id()), "sizes")
-        sized = kept.select(F.col("doc.doc_id").cast("bigint").alias("doc_id"), F.col("doc.source").cast("string").alias("source"), "size", "row")
-        wanted = allotted(sized, **options).where("taken > 0").select("row", "source_size", "target", "taken", "passes", "spans")
-        joined = kept.join(wanted.hint("merge"), "row").select("doc", "size", "source_size", "target", "taken", "passes", "spans")
-
-        names = [*joined.columns[:5], "taken_text"]
-
-        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in sliced(batches):
-                rows = zip(batch.column(0).field("text").to_pylist(), batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array([taken_text(*r) for r in rows], pa.string())], names)
-
-        made = joined.mapInArrow(cut, T.StructType([*joined.schema.fields[:5], T.StructField("taken_text", T.StringType())]))
-        out = [F.col("taken_text" if c.lower() == "text" else f"doc.{quoted(c)}").alias(c) for c in own]
-        return staged(made.select(*out, "size", "source_size", "target", "taken"), "mixed")
+    kept = staged(sizes_of(docs.select(*(F.col(quoted(c)) for c in own))).withColumn("row", F.monotonically_increasing_id()), "sized")
+    sized = kept.select(F.col("doc.doc_id").cast("bigint").alias("doc_id"), F.col("doc.source").cast("string").alias("source"), "size", "row")
+    wanted = allotted(sized, **options).where("taken > 0").select("row", "source_size", "target", "taken", "passes", "spans")
+    joined = kept.join(wanted.hint("merge"), "row").select("doc", "size", "source_size", "target", "taken", "passes", "spans")
+    names = [*joined.columns[:5], "taken_text"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            rows = zip(batch.column(0).field("text").to_pylist(), batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array([taken_text(*r) for r in rows], pa.string())], names)
+
+    made = joined.mapInArrow(cut, T.StructType([*joined.schema.fields[:5], T.StructField("taken_text", T.StringType())]))
+    out = [F.col("taken_text" if c.lower() == "text" else f"doc.{quoted(c)}").alias(c) for c in own]
+    return made.select(*out, "size", "source_size", "target", "taken")
 
 
 def taken_text(text: str, passes: int, spans: list[dict[str, int]]) -> str:

@@ -219,12 +219,16 @@ def rooted_nodes(stars: DataFrame) -> DataFrame:
     return stars.select(F.col("u").alias("key"), F.col("v").alias("root")).unionByName(roots)
 
 
-def linked(work: Workspace, docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The rows (doc, row, key, n), staged, with a fixed number each; and of each set (key, best): its component's first row.
+def numbered(docs: DataFrame, words: int) -> DataFrame:
+    """signatures() with a number for each row, which is fixed once they are written."""
+    return signatures(docs, words).withColumn("row", F.monotonically_increasing_id())
+
+
+def first_rows(work: Workspace, signed: DataFrame, words: int, percent: int) -> DataFrame:
+    """Of each set of written rows (key, best): its component's first row.
 
     ``best`` is (unnamed, doc_id, row) of the row with the smallest doc_id, null ones last, then the smallest row.
     """
-    signed = work.staged(signatures(docs, words).withColumn("row", F.monotonically_increasing_id()), "signatures")
     stars = all_stars(work, signed, words, percent)
     place = F.struct(F.col("doc.doc_id").isNull().alias("unnamed"), F.col("doc.doc_id").alias("doc_id"), "row")
     firsts = signed.where("key is not null").groupBy("key").agg(F.min(place).alias("best"))
@@ -232,7 +236,7 @@ def linked(work: Workspace, docs: DataFrame, words: int, percent: int) -> tuple[
         rooted = firsts.join(rooted_nodes(stars), "key", "left").withColumn("root", F.coalesce("root", "key"))
         whole = rooted.groupBy("root").agg(F.min("best").alias("least"))
         firsts = attached(rooted, whole, "root", "key").select("key", F.col("least").alias("best"))
-    return signed, work.staged(firsts, "firsts")  # staged, so that adaptive execution may split a set of many copies where it's joined
+    return work.staged(firsts, "firsts")  # written, so that adaptive execution may split a set of many copies where it's joined
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -245,7 +249,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     gives no rows; other columns than doc_id and text aren't looked at, whatever their names.
     """
     with Workspace(docs.sparkSession, "near") as work:
-        signed, firsts = linked(work, docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), words, percent)
+        signed = work.staged(numbered(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), words), "signatures")
+        firsts = first_rows(work, signed, words, percent)
         out = signed.select(F.col("doc.doc_id").alias("doc_id"), "key", F.col("n").alias("n_shingles")).join(firsts, "key", "left")
         out = out.withColumn("component_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")))
         return staged(out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")), "near-duplicates")
@@ -256,12 +261,12 @@ def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
 
     Links are as in near_duplicates(); rows without words are linked with nothing, so all of them stay. ``text`` is a string; other columns may have any names.
     """
+    signed = staged(numbered(docs, words), "signed")  # stays, as the result is read from it
     with Workspace(docs.sparkSession, "dedup") as work:
-        signed, firsts = linked(work, docs, words, percent)
-        first = firsts.select("best.row").distinct().hint("merge")
-        alone = signed.where("key is null").select("doc")
-        kept = signed.where("key is not null").select("doc", "row").join(first, "row", "left_semi").select("doc").unionByName(alone)
-        return staged(kept, "deduplicated").select(*(F.col(f"doc.{quoted(c)}").alias(c) for c in docs.columns))
+        first = staged(first_rows(work, signed, words, percent).select("best.row").distinct(), "first-rows").hint("merge")
+    alone = signed.where("key is null").select("doc")
+    kept = signed.where("key is not null").select("doc", "row").join(first, "row", "left_semi").select("doc").unionByName(alone)
+    return kept.select(*(F.col(f"doc.{quoted(c)}").alias(c) for c in docs.columns))
 
 
 def all_stars(work: Workspace, signed: DataFrame, words: int, percent: int) -> DataFrame | None:
