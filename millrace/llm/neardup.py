@@ -320,7 +320,7 @@ def rest(work: Workspace, placed: DataFrame, sets: DataFrame, words: int, percen
     dealt = dealt.withColumn("own", own).withColumn("other", F.explode(every))
     dealt = dealt.select("group", F.when(F.col("one"), F.col("own")).otherwise(F.col("other")).alias("i"), F.when(F.col("one"), F.col("other")).otherwise(F.col("own")).alias("j"), "one", "out", "key", "root", "n", "wide")
     near = work.staged(dealt.groupBy("group", "i", "j").applyInArrow(lambda table: near_ones(table, percent), BLOCK), "near")
-    told = near.join(sets.select("key", "text"), "key")
+    told = attached(near, sets.select("key", "text"), "key", ["i", "j"])  # a node may be near others in many blocks
     return told.groupBy("group", "i", "j").applyInArrow(lambda table: block_links(table, words, percent), LINKS)
 
 
